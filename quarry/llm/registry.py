@@ -1,9 +1,17 @@
-"""The training-data queries by name."""
+"""The training-data queries by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from quarry.llm import embedding_dedup, minhash, topk
 from quarry.llm.bpe import op1_bpe
+from quarry.llm.embedding_dedup import op3_embedding_dedup
+from quarry.llm.langid import op2_langid
+from quarry.llm.licenses import op7_licenses
+from quarry.llm.minhash import op6_minhash
 from quarry.llm.packing import op4_packing
+from quarry.llm.sharding import op5_sharding
+from quarry.llm.topk import op8_topk
+from quarry.llm.toxicity import op10_toxicity
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_packing": op4_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_embedding_dedup, op4_packing, op5_sharding, op6_minhash, op7_licenses, op8_topk, op10_toxicity)}
+ORACLE_SQL = {"op3_embedding_dedup": embedding_dedup.ORACLE, "op6_minhash": minhash.ORACLE, "op8_topk": topk.ORACLE}
