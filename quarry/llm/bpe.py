@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import keyed_text, table
 
 #: Words kept per task; beyond it the cache starts anew, so memory stays bounded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Characters of text handled together.
 GROUP_CHARS = 4_000_000
 MOST_TOKENS = 1_000_000
