@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarry.plans import chunking, corpus, operations
+
+QUERIES = chunking.QUERIES | corpus.QUERIES | operations.QUERIES
+ORACLE_SQL = chunking.ORACLE_SQL | corpus.ORACLE_SQL | operations.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["chunk_overlap"](spark, sf_dir)
+    """Overlapping chunks of all documents, counted and measured per source."""
+    return QUERIES["chunk_counts"](spark, sf_dir)
