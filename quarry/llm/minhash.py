@@ -3,13 +3,13 @@
 1. Every text becomes the set of its word shingles, as 64-bit hashes; texts with equal sets form a
    class, of which one representative goes on.
 2. Signatures of 128 minima are banded; representatives that share a band lie in one bucket.
-3. Every member of a bucket is first compared with the bucket's smallest id (a star, never all
-   pairs), in batches of 32 minima: after each batch the pair is dropped if the posterior
-   probability that its similarity reaches the threshold is below the miss probability.
-   Survivors are verified exactly on their full sets.
-4. Buckets whose members then lie in different components are compared block by block; pairs of
-   different components that survive the batches are verified as well, the most similar ones of
-   each text first, until every surviving pair is verified or lies within one component.
+3. Every member of a bucket is compared with the bucket's smallest id (a star, never all pairs), in
+   batches of 32 minima: after each batch the pair is dropped if the posterior probability that its
+   similarity reaches the threshold is below the miss probability. Buckets whose members are not
+   joined by survivors then are compared block by block in the same way; a task returns the edges
+   of a spanning forest. The components of all survivors are the clusters.
+4. Within clusters, links are verified on the full sets: each text with one partner first; clusters
+   that are not one component then, block by block between components, again returning forests.
 
 A pair of similarity J shares no band with probability (1 - J^5)^25: 4e-7 at 0.85, 5e-5 at 0.8.
 """
@@ -28,14 +28,15 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, keyed_text, table
 from quarry.llm.components import components
+from quarry.llm.embedding_dedup import local_roots
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 #: Probability at which a pair counts as surely below the threshold.
 MISS = 1e-6
 #: Members of one bucket that are compared within one task.
 BLOCK = 512
-#: Ranks of the surviving partners of a text up to which each further round verifies; the last has no end.
-WIDTHS = (8, 64, 1 << 40)
+#: Shared shingles counted at once when a block is verified.
+COLUMNS = 8192
 
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20)
@@ -185,18 +186,24 @@ def survivors(pairs: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
     return _sided(pairs, reps, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs with 100 * |A & B| >= percent * |A | B|, on the full sets of both texts."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the documents with the given ids (doc_id)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler.set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, f"rep {kind}, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * |A & B| >= percent * |A | B|, on the full sets of both texts."""
+    kind = sets.schema["rep"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -210,39 +217,32 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                 at = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
 
-    side = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, f"rep {kind}, shingles binary"))
-    return _sided(pairs, side, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return _sided(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def further(members: DataFrame, reps: DataFrame, least: list[int], low: int, high: int) -> DataFrame:
-    """Surviving pairs of different components within buckets, block against block.
+def local_edges(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """A star for each component of the local graph: never more edges than vertices."""
+    root = local_roots(len(rep), a, b)
+    at = np.flatnonzero(root != np.arange(len(rep)))
+    return pd.DataFrame({"a": rep[root[at]], "b": rep[at]})
 
-    Of each text, the partners from rank ``low`` to ``high`` in order of matching minima, among those
-    whose ``first_label`` differs; the order stays the same in every round, so rounds with rising
-    ranks meet every such pair. Those whose ``label`` is the same by now are left out. A row of
-    nulls says that partners beyond ``high`` are left.
-    """
+
+def further(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
+    """Edges that join what survives the batches within buckets, block against block."""
     kind = members.schema["rep"].dataType.simpleString()
     blocks = members.withColumn("_n", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     dealt = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.select("key", F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q"), "_i", "rep", "first_label", "label", "hub")
+    dealt = dealt.select("key", F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q"), "rep", "label")
     dealt = dealt.join(reps.select("rep", "sig"), "rep")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rep", ignore_index=True)
         sig = np.frombuffer(b"".join(g["sig"]), dtype=np.uint32).reshape(-1, HASHES)
-        inner = g["_p"].iat[0] == g["_q"].iat[0]
-        first = np.flatnonzero(g["_i"] == g["_p"])
-        second = first if inner else np.flatnonzero(g["_i"] != g["_p"])
-        label, old, rep, hub = (g[c].to_numpy() for c in ("label", "first_label", "rep", "hub"))
-        hub = rep == hub
-        out, more = [np.empty((0, 2), dtype=rep.dtype)], False
-        if len(np.unique(label)) < 2:
-            return pd.DataFrame({"a": rep[:0], "b": rep[:0]})
-        for start in range(0, len(first), 64):
-            mine = first[start : start + 64]
-            x, y = (v.ravel() for v in np.meshgrid(mine, second, indexing="ij"))
-            ok = (x != y) & (old[x] != old[y]) & ~hub[x] & ~hub[y]
+        label, rep = g["label"].to_numpy(), g["rep"].to_numpy()
+        left, right = [], []
+        for start in range(0, len(rep), 64):
+            x, y = (v.ravel() for v in np.meshgrid(np.arange(start, min(start + 64, len(rep))), np.arange(start, len(rep)), indexing="ij"))
+            ok = (x < y) & (label[x] != label[y])
             x, y = x[ok], y[ok]
             found = np.zeros(len(x), dtype=np.int64)
             for k, m in enumerate(least):
@@ -250,18 +250,69 @@ def further(members: DataFrame, reps: DataFrame, least: list[int], low: int, hig
                 found += (sig[x, part] == sig[y, part]).sum(axis=1)
                 ok = found >= m
                 x, y, found = x[ok], y[ok], found[ok]
-            order = np.lexsort((y, -found, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            more |= bool((rank >= high).any())
-            ok = (rank >= low) & (rank < high) & (label[x] != label[y])
-            out.append(np.stack([np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])], axis=1))
-        pairs = pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"]).astype("Int64")
-        return pd.concat([pairs, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")]) if more else pairs
+            left.append(x)
+            right.append(y)
+        return local_edges(rep, np.concatenate(left), np.concatenate(right))
 
     return dealt.groupBy("key", "_p", "_q").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+def exact_links(sets: list[np.ndarray], percent: int, different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``different`` labels whose sets reach the similarity, from counts of shared shingles."""
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    of, code = of[shared], code[shared]
+    names, code = np.unique(code, return_inverse=True)
+    count = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    for start in range(0, len(names), COLUMNS):
+        part = slice(*np.searchsorted(code, [start, start + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, len(names) - start)), dtype=np.float32)
+        held[of[part], code[part] - start] = 1
+        count += held @ held.T
+    count = count.astype(np.int64)
+    ok = 100 * count >= percent * (size[:, None] + size[None, :] - count)
+    x, y = np.nonzero(np.triu(ok & different, 1))
+    return x, y
+
+
+def within_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that join exactly linked texts of different labels, in clusters that hold several labels.
+
+    ``members``: rep, cluster, label. A large label fills blocks of its own, small labels share
+    blocks; two blocks of the same label are not compared.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    sizes = members.groupBy("cluster", "label").count()
+    small = sizes.where(F.col("count") < BLOCK / 2).groupBy("cluster").agg(F.ceil(F.sum("count") / (BLOCK / 2)).alias("parts"))
+    shape = cut(sizes.join(small, "cluster", "left"))
+    alone = F.col("count") >= BLOCK / 2
+    spread = F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / BLOCK))
+    block = F.when(alone, F.xxhash64("label", spread)).otherwise(F.pmod(F.xxhash64("label"), F.col("parts")))
+    dealt = cut(members.join(shape, ["cluster", "label"]).select("rep", "cluster", "label", block.alias("block"), F.when(alone, F.col("label")).alias("only")))
+    every = cut(dealt.select("cluster", "block", "only").distinct())
+    other = every.select("cluster", F.col("block").alias("block_b"), F.col("only").alias("only_b"))
+    pairs = every.join(other, "cluster").where("block <= block_b and (only is null or only_b is null or only <> only_b)")
+    pairs = pairs.select("cluster", F.col("block").alias("p"), F.col("block_b").alias("q"))
+    sent = pairs.select("cluster", F.col("p").alias("block"), "p", "q").unionByName(pairs.where("p <> q").select("cluster", F.col("q").alias("block"), "p", "q"))
+    rows = dealt.join(cut(sent), ["cluster", "block"]).select("cluster", "p", "q", "rep", "label").join(sets, "rep")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        label, rep = g["label"].to_numpy(), g["rep"].to_numpy()
+        x, y = exact_links([np.frombuffer(v, np.uint64) for v in g["shingles"]], percent, label[:, None] != label[None, :])
+        return local_edges(rep, x, y)
+
+    return rows.groupBy("cluster", "p", "q").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
+def labelled(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """``rows`` (rep, ...) with the component of rep as ``name``; its own id where it has none."""
+    return rows.join(of.select(F.col("node").alias("rep"), F.col("component").alias(name)), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; ids are integers.
 
@@ -279,23 +330,23 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     hubs = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1"))
     members = cut(banded.join(hubs, "key"))
     stars = cut(survivors(members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), one, least))
-    links = cut(verified(stars, docs, words, percent))
+    clusters = cut(components(stars))
+    named = labelled(members.where("n > 2"), clusters, "label")
+    mixed = named.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("key")
+    more = cut(further(named.join(cut(mixed), "key", "left_semi"), one, least))
+    if not more.isEmpty():
+        clusters = cut(components(stars.unionByName(more)))
+    sets = cut(shingle_sets(docs, clusters.select(F.col("node").alias("doc_id")).distinct(), words))
+    # One exact comparison for every text first: with the smallest partner it has, or its cluster's smallest id.
+    partner = stars.groupBy("b").agg(F.min("a").alias("a"))
+    lone = clusters.where("node <> component").select(F.col("node").alias("b"), F.col("component").alias("_c")).join(partner, "b", "left")
+    links = cut(verified(lone.select(F.coalesce("a", "_c").alias("a"), "b"), sets, percent))
     labels = cut(components(links))
-    wide = members.where("n > 2")
-    first = None
-    for low, high in zip((0, *WIDTHS), WIDTHS, strict=False):
-        first = first or labels
-        named = wide
-        for of, name in ((first, "first_label"), (labels, "label")):
-            named = named.join(of.select(F.col("node").alias("rep"), F.col("component").alias(name)), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("key")
-        found = cut(further(named.join(cut(mixed), "key", "left_semi"), one, least, low, high))
-        n, whole = found.agg(F.count("a"), F.count("*")).first()
-        if n:
-            links = cut(links.unionByName(verified(found.where("a is not null"), docs, words, percent)))
-            labels = cut(components(links))
-        if n == whole:
-            break
+    inner = labelled(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), labels, "label")
+    several = inner.groupBy("cluster").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("cluster")
+    rest = cut(within_clusters(cut(inner.join(cut(several), "cluster", "left_semi")), sets, percent))
+    if not rest.isEmpty():
+        labels = cut(components(links.unionByName(rest)))
     classes = reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "print").join(cut(classes), "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
