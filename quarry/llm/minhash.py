@@ -35,6 +35,8 @@ HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 MISS = 1e-6
 #: Members of one bucket that are compared within one task.
 BLOCK = 512
+#: Ids of clustered texts up to this many are broadcast (16 MB); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 #: Shared shingles counted at once when a block is verified.
 COLUMNS = 8192
 
@@ -197,7 +199,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler.set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, f"rep {kind}, shingles binary")
+    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids  # else whole texts are shuffled
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, f"rep {kind}, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,7 +339,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     more = cut(further(named.join(cut(mixed), "key", "left_semi"), one, least))
     if not more.isEmpty():
         clusters = cut(components(stars.unionByName(more)))
-    sets = cut(shingle_sets(docs, clusters.select(F.col("node").alias("doc_id")).distinct(), words))
+    sets = cut(shingle_sets(docs, cut(clusters.select(F.col("node").alias("doc_id")).distinct()), words))
     # One exact comparison for every text first: with the smallest partner it has, or its cluster's smallest id.
     partner = stars.groupBy("b").agg(F.min("a").alias("a"))
     lone = clusters.where("node <> component").select(F.col("node").alias("b"), F.col("component").alias("_c")).join(partner, "b", "left")
