@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut, drop
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u hangs on one v that hangs on nothing: then v is the least of its component."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    left = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+    return left.agg(F.count("*")).first()[0] == 0
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -25,24 +28,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Loops and edges with a null end count for nothing; repeated edges count once; without edges
     the result is empty. Each round shrinks the graph towards stars (Kiveris et al. 2014) and is
-    written to the shared folder.
+    written to the shared folder; a graph of stars needs none.
     """
     one = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     now = cut(one.distinct())
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         low = _least(large)
         hung = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        new_mark = _mark(new)
         for x in (now, least, large, low):
             drop(x)
         now = new
-        if new_mark == mark:
-            break
-        mark = new_mark
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
