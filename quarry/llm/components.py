@@ -15,12 +15,14 @@ def _stars(edges: DataFrame) -> bool:
     return left.agg(F.count("*")).first()[0] == 0
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """The least neighbour of every u, written out: the join with it then reads two plain shuffles,
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` with the least neighbour of u as m.
 
-    so Spark can split a node that has very many edges over several tasks.
+    The join has one more key than the grouping, so that both its sides are plain shuffles: Spark
+    can then split a node that has very many edges over several tasks.
     """
-    return cut(pairs.groupBy("u").agg(F.min("v").alias("m")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.withColumn("h", F.xxhash64("u")).join(least.withColumn("h", F.xxhash64("u")), ["h", "u"]).drop("h")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,13 +36,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(one.distinct())
     while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both)
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
-        low = _least(large)
-        hung = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = _with_least(large)
+        hung = low.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        for x in (now, least, large, low):
-            drop(x)
+        drop(now)
         now = new
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def extended(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of ``labels`` with further ``edges``, of which only the ends' labels are linked."""
+    ends = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a is not null and _b is not null")
+    for end in ("_a", "_b"):
+        of = labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+        ends = ends.join(of, end, "left").withColumn(f"{end}_of", F.coalesce(f"{end}_of", end))
+    merged = cut(components(cut(ends.select("_a_of", "_b_of").distinct()), "_a_of", "_b_of"))
+    new = merged.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti")
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return labels.unionByName(new).join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))

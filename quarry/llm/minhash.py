@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut, keyed_text, table
-from quarry.llm.components import components
+from quarry.llm.components import components, extended
 from quarry.llm.embedding_dedup import local_roots
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
@@ -338,7 +338,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     mixed = named.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("key")
     more = cut(further(named.join(cut(mixed), "key", "left_semi"), one, least))
     if not more.isEmpty():
-        clusters = cut(components(stars.unionByName(more)))
+        clusters = cut(extended(clusters, more))
     sets = cut(shingle_sets(docs, cut(clusters.select(F.col("node").alias("doc_id")).distinct()), words))
     # One exact comparison for every text first: with the smallest partner it has, or its cluster's smallest id.
     partner = stars.groupBy("b").agg(F.min("a").alias("a"))
@@ -349,7 +349,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     several = inner.groupBy("cluster").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("cluster")
     rest = cut(within_clusters(cut(inner.join(cut(several), "cluster", "left_semi")), sets, percent))
     if not rest.isEmpty():
-        labels = cut(components(links.unionByName(rest)))
+        labels = cut(extended(labels, rest))
     classes = reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "print").join(cut(classes), "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))

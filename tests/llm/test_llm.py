@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the tokenizers library, SQL and odd inputs."""
 
 import os
+import random
 import re
 import zlib
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import bpe, embedding_dedup, html_text, langid, licenses, minhash, packing, registry, sharding, topk, toxicity
-from quarry.llm.components import components
+from quarry.llm.components import components, extended
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -192,6 +193,18 @@ def test_minhash_is_brute_force(spark, odd, none):
     assert minhash.near_duplicates(odd).count() == len(ODD) and minhash.near_duplicates(none).count() == 0
 
 
+def test_components_in_two_steps(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(15)]
+    frames = [spark.createDataFrame(e, "a long, b long") for e in (edges, more)]
+    got = {(r.node, r.component) for r in extended(components(frames[0]), frames[1]).collect()}
+    want = {(r.node, r.component) for r in components(frames[0].unionByName(frames[1])).collect()}
+    loops = {(n, n) for e in edges + more for n in e}  # a node with a loop only may be named or not
+    assert got | loops == want | loops and {n for n, _ in got} >= {n for n, _ in want}
+    assert {r.node: r.component for r in extended(components(frames[0].limit(0)), frames[1]).collect()} == {r.node: r.component for r in components(frames[1]).collect()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
