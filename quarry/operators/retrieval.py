@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import citation_text, distance, score
+from quarry.functions.text import citation_text, distance, dot, score
 
 #: BM25's usual constants (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
@@ -22,19 +22,24 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def score_pairs(queries: DataFrame, chunks: DataFrame, metric: str = "cosine") -> DataFrame:
-    """query_id, id, distance, score of a stated set of queries against all chunks.
+def paired(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every query with every chunk; the queries' vector becomes _q.
 
     The queries' number is checked: a small set is broadcast; a larger one meets the chunks in
     blocks of a grid, so that neither side is collected.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"))
+    q = queries.withColumnRenamed("vector", "_q")
     n = queries.count()
     blocks = max(1, -(-n // MOST_BROADCAST))
     q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     dealt = chunks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = dealt.join(F.broadcast(q) if blocks == 1 else q, "_b").drop("_b")
+    return dealt.join(F.broadcast(q) if blocks == 1 else q, "_b").drop("_b")
+
+
+def score_pairs(queries: DataFrame, chunks: DataFrame, metric: str = "cosine") -> DataFrame:
+    """query_id, id, distance, score of a stated set of queries against all chunks."""
     d = distance(F.col("_q"), F.col("vector"), metric)
+    pairs = paired(queries.select("query_id", "vector"), chunks)
     return pairs.withColumn("distance", d).withColumn("score", score(F.col("distance"), metric)).drop("_q")
 
 
@@ -43,23 +48,52 @@ def near_vector(queries: DataFrame, chunks: DataFrame, k: int, metric: str = "co
     return top_k(score_pairs(queries, chunks.select("id", "vector"), metric).drop("vector"), k)
 
 
-def near_vector_approx(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5) -> DataFrame:
-    """Approximate nearest chunks by cosine: candidates share a sign pattern in some table, then exact scores."""
-    import numpy as np
+def usual_width(chunks: DataFrame) -> int | None:
+    """The commonest width of the valid vectors, of equal counts the larger one; None without any."""
+    widths = valid(chunks).groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"))
+    found = widths.agg(F.max(F.struct("n", "width")).alias("x")).first().x
+    return found and found.width
 
-    dims = chunks.select(F.size("vector")).first()
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims[0] if dims else 1))
 
-    def keys(v: Column) -> Column:
-        def sign(p):
-            return F.when(F.aggregate(F.zip_with(v, F.lit(p.tolist()), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > 0, 1).otherwise(0)
+def valid(df: DataFrame) -> DataFrame:
+    """Rows whose vector is neither null nor empty and holds finite numbers only."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where((F.size("vector") > 0) & finite)
 
-        return F.array(*[sum((sign(p) * (1 << i) for i, p in enumerate(t)), F.lit(n << bits)) for n, t in enumerate(planes)])
 
-    left = queries.select("query_id", F.col("vector").alias("_q"), F.explode(keys(F.col("vector"))).alias("_k"))
-    right = chunks.select("id", F.explode(keys(F.col("vector"))).alias("_k"))
-    found = left.join(right, "_k").select("query_id", "_q", "id").dropDuplicates(["query_id", "id"]).join(chunks.select("id", "vector"), "id")
-    return top_k(found.withColumn("score", score(distance(F.col("_q"), F.col("vector"), "cosine"), "cosine")).drop("_q", "vector"), k)
+def near_vector_approx(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, probes: int = 3) -> DataFrame:
+    """Approximate nearest chunks by cosine: candidates share a sign pattern in some table, then exact scores.
+
+    A query also probes, in each table, the patterns that differ in one of its ``probes`` signs
+    nearest to zero. Vectors that are not valid or not of the usual width are no candidates and
+    find none.
+    """
+    import numpy as np
+
+    width = usual_width(chunks)
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, width or 1))
+    usual, norm = F.size("vector") == (width or 0), F.sqrt(dot(F.col("vector"), F.col("vector")))
+
+    fixed = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in p) + ")" for p in t) + ")" for t in planes.tolist()) + ")")
+    margins = F.transform(fixed, lambda t: F.transform(t, lambda p: dot(F.col("vector"), p)))
+
+    def pattern(m: Column) -> Column:
+        return F.aggregate(m, F.lit(0), lambda s, x: s * 2 + (x > 0).cast("int"))
+
+    def probed(m: Column) -> Column:
+        order = F.array_sort(F.transform(m, lambda x, i: F.struct(F.abs(x).alias("far"), i.alias("i"))))
+        flips = F.transform(F.slice(order, 1, probes), lambda x: F.pow(F.lit(2), bits - 1 - x["i"]).cast("int"))
+        own = pattern(m)
+        return F.concat(F.array(own), F.transform(flips, lambda x: own.bitwiseXOR(x)))
+
+    asked = valid(queries).where(usual).select("query_id", "vector", norm.alias("_m"), F.transform(margins, probed).alias("_p"))
+    held = valid(chunks).where(usual).select("id", "vector", norm.alias("_n"), F.transform(margins, pattern).alias("_k"))
+    shared = F.lit(False)
+    for t in range(tables):
+        shared = shared | F.array_contains(F.col("_p")[t], F.col("_k")[t])
+    found = paired(asked, held).where(shared)
+    cosine = F.try_divide(dot(F.col("_q"), F.col("vector")), F.col("_m") * F.col("_n"))  # lengths once a row, not once a pair
+    return top_k(found.select("query_id", "id", score(1 - cosine, "cosine").alias("score")), k)
 
 
 def tokens(c: Column) -> Column:

@@ -1,5 +1,7 @@
 """Small literal cases."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -9,6 +11,7 @@ from quarry.operators import cleaning as K
 from quarry.operators import evaluation as G
 from quarry.operators import retrieval as R
 from quarry.operators import store as S
+from quarry.plans import corpus
 from quarry.sources import files as IO
 from quarry.streaming import streams
 
@@ -46,6 +49,35 @@ def test_scores(spark):
     assert R.near_vector(q, c, 1).first().score == 1.0
 
 
+def recall(got, want):
+    """Mean and least share of each query's true hits that were found."""
+    shares = [len(set(got.get(q, [])) & set(ids)) / len(ids) for q, ids in want.items()]
+    return sum(shares) / len(shares), min(shares)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_search_finds_the_true_hits(spark, sf):
+    d = f"/root/testdata/{sf}"
+    rows = sorted(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {int(i): ids[np.lexsort((ids, -np.round(u @ x, 12)))[:10]].tolist() for i, x in zip(ids, u, strict=True) if i % 50 == 0}
+    got = {}
+    for r in corpus.near_vector_approx(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    mean, least = recall(got, want)
+    print(sf, len(want), "queries, recall", round(mean, 3), "least", least)
+    assert set(got) == set(want) and mean >= 0.9
+
+
+def test_approximate_search_ignores_odd_vectors(spark):
+    rows = [(0, None), (1, []), (2, [1.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, 0.0]), (6, [0.9, 0.1]), (7, [-1.0, 0.0])]
+    c = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    got = R.near_vector_approx(c.select(F.col("id").alias("query_id"), "vector"), c, 2, tables=40).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in got} == {5, 6, 7} and [r.id for r in got if r.query_id == 5] == [5, 6]
+    assert R.near_vector_approx(c.where("id < 5").selectExpr("id as query_id", "vector"), c.where("id < 2"), 2).count() == 0
+
+
 def test_parts(spark):
     for name, base in (("a.txt", "a.txt"), ("a.txt (part 1)", "a.txt"), ("a.txt (part 01)", "a.txt (part 01)"), ("a.txt (part 2) (part 1)", "a.txt (part 2)")):
         assert one(spark, name, T.base_of) == base
