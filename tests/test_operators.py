@@ -70,6 +70,21 @@ def test_approximate_search_finds_the_true_hits(spark, sf):
     assert set(got) == set(want) and mean >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_exact_search_asks_with_every_50th_id(spark, metric):
+    d = "/root/testdata/sf0.1"
+    rows = sorted(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True) if metric == "cosine" else v
+    score = {"cosine": lambda x: u @ x, "dot": lambda x: u @ x, "l2": lambda x: 1 / (1 + ((u - x) ** 2).sum(1))}[metric]
+    want = {int(i): np.sort(score(x))[::-1][:10] for i, x in zip(ids, u, strict=True) if i % 50 == 0}
+    got = {}
+    for r in getattr(corpus, f"near_vector_{metric}_50th")(spark, d).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert set(got) == set(want) and len(want) == 40
+    assert all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
+
+
 def test_approximate_search_ignores_odd_vectors(spark):
     rows = [(0, None), (1, []), (2, [1.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, 0.0]), (6, [0.9, 0.1]), (7, [-1.0, 0.0])]
     c = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
