@@ -273,6 +273,33 @@ def test_licenses(spark):
     assert licenses.license_scan(df.where("doc_id < 0")).count() == 0
 
 
+def test_licenses_in_usual_forms(spark):
+    bsd = "Copyright (c) 2024, ACME\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions must keep the notice.\n"
+    more = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    cases = {
+        "# Copyright 2024 ACME. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Copyright (c) 2024 Jane Doe. Released under the MIT License.": "MIT",
+        "A long paragraph of other words goes before it. " * 4 + "Licensed under CC BY-NC 4.0." + " And others come after it." * 4: "CC-BY-NC-4.0",
+        "x\nLicensed under the\nApache License,\nVersion 2.0.\ny": "Apache-2.0",
+        gpl: "GPL-3.0",
+        gpl.replace("version 3", "version 2"): "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+        "text under a Creative Commons Attribution 4.0 International License, as this work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0",
+        "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": "GPL-3.0",
+        bsd: "BSD-2-Clause",
+        bsd + more: "BSD-3-Clause",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal": "MIT",
+        "mit": None,
+        "wir kommen alle mit": None,
+        "the general version of this work is public and under a license of sorts": None,
+    }
+    df = spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.license_scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.op9_html(spark, SF).collect()}
