@@ -14,16 +14,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_text, table
+from quarry.llm.common import cut, keyed_text, table
 from quarry.llm.langid import held_out
 
-#: Labelled rows learned from, per label and part, as an expected number (rows are drawn by a hash).
+#: Labelled rows learned from, per label and part, at most (rows are drawn by a hash of their ids).
 SELECTING, EXAMPLES = 3000, 4000
 MOST_FEATURES = 8192
 #: What a feature needs: rows of the label, and log-odds between the labels.
@@ -135,15 +136,38 @@ class Index:
         return float((votes @ self.label[docs] + base * self.rate) / (votes.sum() + base)), docs, cosines
 
 
-def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[list[str], Index]:
-    """Features and index from ``rows`` (doc_id, text, label 0 or 1), each drawn part bounded as documented."""
-    known = rows.where("text is not null and label in (0, 1)").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    total = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) / float(1 << 20)
-    # At most half of the labelled rows select, at most half are examples; never the same row.
-    share = {n: F.coalesce(*[F.when(F.col("label") == y, F.lit(min(0.5, n / max(1, c)))) for y, c in total.items()], F.lit(0.0)) for n in {selecting, examples}}
-    part_a = known.where(draw < share[selecting])
-    part_b = known.where(draw >= 1 - share[examples])
+def drawn(labels: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[dict[int, int], DataFrame]:
+    """Rows by label, and (doc_id, label, part) of the drawn ones: part 0 selects features, part 1 holds the examples.
+
+    ``labels``: doc_id, label. Only these two columns are read, before any text is. Of each label the
+    ``selecting`` smallest and the ``examples`` greatest hashes of ids are drawn, at most half of the
+    rows for each part, so no row is in both. An id with several rows counts once, by its greatest
+    label; rows without id or with another label than 0 and 1 count for nothing.
+    """
+    known = cut(labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")))
+    total = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows at most
+    draw = F.xxhash64("doc_id", F.lit("draw"))
+    parts = []
+    for y, n in sorted(total.items()):
+        own = known.where(F.col("label") == y)
+        parts.append(own.orderBy(draw, "doc_id").limit(min(selecting, n // 2)).withColumn("part", F.lit(0)))
+        parts.append(own.orderBy(draw.desc(), F.desc("doc_id")).limit(min(examples, n // 2)).withColumn("part", F.lit(1)))
+    if not parts:
+        return total, known.withColumn("part", F.lit(0))
+    return total, cut(reduce(DataFrame.unionByName, parts))
+
+
+def learn(docs: DataFrame, labels: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[list[str], Index]:
+    """Features and index from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) names.
+
+    At most 2 * (selecting + examples) texts are read, whatever the size of the tables: their ids are
+    drawn from the labels alone and broadcast to the documents. Null texts count for nothing; of
+    several texts of one id the smallest counts.
+    """
+    total, ids = drawn(labels, selecting, examples)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # bounded by the limits above
+    rows = cut(texts.groupBy("doc_id", "label", "part").agg(F.min("text").alias("text")).select("doc_id", "text", "label", "part"))
+    part_a, part_b = rows.where("part = 0").drop("part"), rows.where("part = 1").drop("part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
@@ -164,13 +188,12 @@ def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], ["feature", "n0", "n1"])
 
     counted = part_a.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = counted.where(f"feature = '' or n1 >= {LEAST_ROWS} or n0 >= {LEAST_ROWS}").persist()
+    counted = cut(counted.where(f"feature = '' or n1 >= {LEAST_ROWS} or n0 >= {LEAST_ROWS}"))
     n0, n1 = (counted.where("feature = ''").select("n0", "n1").first() or (0, 0))
     odds = F.log((F.col("n1") + 0.5) / (F.lit(n1 + 0.5) - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (F.lit(n0 + 0.5) - F.col("n0") + 0.5))
     best = counted.where("feature <> ''").withColumn("odds", odds).where(F.abs("odds") >= LEAST_ODDS).orderBy(F.desc(F.abs("odds") * F.sqrt(F.greatest("n0", "n1"))), "feature").limit(MOST_FEATURES)
     chosen = sorted(r[0] for r in best.select("feature").collect())
-    counted.unpersist()
-    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Vectoriser(shared.value)
@@ -178,10 +201,15 @@ def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -
             found = [make.counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([list(c.items()) for c in found], pa.map_(pa.int64(), pa.int64()))], ["doc_id", "label", "counts"])
 
-    rows_b = [(r[0] if r[0] is not None else -1, r[1], r[2]) for r in part_b.mapInArrow(vectors, "doc_id long, label int, counts map<bigint,bigint>").collect()]  # bounded by the examples drawn
-    rows_b.sort(key=lambda r: (r[0], r[1]))
-    drawn = Counter(r[1] for r in rows_b)
-    return chosen, Index(len(chosen), rows_b, {y: total[y] / max(1, drawn[y]) for y in total})
+    rows_b = [tuple(r) for r in part_b.mapInArrow(vectors, "doc_id long, label int, counts map<bigint,bigint>").collect()]  # bounded by the examples drawn
+    rows_b.sort(key=lambda r: r[:2])
+    held = Counter(r[1] for r in rows_b)
+    return chosen, Index(len(chosen), rows_b, {y: total[y] / max(1, held[y]) for y in total})
+
+
+def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[list[str], Index]:
+    """As ``learn``, from rows that hold both text and label (doc_id, text, label)."""
+    return learn(rows, rows.where("text is not null").select("doc_id", "label"), selecting, examples)
 
 
 def score(df: DataFrame, chosen: list[str], index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,15 +237,15 @@ def score(df: DataFrame, chosen: list[str], index: Index, id_col: str = "doc_id"
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, label of the learning rows: those outside the held-out fold."""
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    return docs.select("doc_id", "text").where(~held_out(F.col("doc_id"), 3, 1)).join(known, "doc_id")
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the rows of ``labels`` whose toxic mark is known."""
+    return labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("label"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels of the other two folds."""
     docs = table(spark, sf_dir, "documents")
-    chosen, index = fit(labelled(docs, table(spark, sf_dir, "labels")))
+    labels = known_labels(table(spark, sf_dir, "labels")).where(~held_out(F.col("doc_id"), 3, 1))
+    chosen, index = learn(docs, labels)
     scored = score(docs, chosen, index)
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted", "evidence")
