@@ -13,7 +13,8 @@ from quarry.llm.common import cut, table
 from quarry.llm.langid import UNKNOWN, identify, learn
 from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import pack_documents
-from quarry.llm.toxicity import fit, score
+from quarry.llm.toxicity import known_labels, score
+from quarry.llm.toxicity import learn as learn_toxicity
 
 #: Share of the leading language below which a document is rejected as not being in any language.
 LEAST_SHARE = 0.3
@@ -30,8 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic."""
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").alias("label"))
-    chosen, index = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    chosen, index = learn_toxicity(docs, known_labels(table(spark, sf_dir, "labels")))
     toxic = score(docs, chosen, index).where("predicted = 1").select("doc_id").distinct()
     return docs.join(toxic, "doc_id", "left_anti")
 
