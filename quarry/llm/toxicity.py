@@ -3,10 +3,11 @@
 Features are words and word beginnings associated with a label in one part of the labelled rows
 (the selecting part). The other part (the examples) is indexed as TF-IDF vectors of these features:
 an inverted index with the greatest weight of every block of examples. A text's nearest examples by
-cosine are found exactly: blocks are visited in the order of their bounds until no bound can beat
-the k-th best. The examples vote with their cosines, weighted by how many labelled rows each stands
-for, against a small weight of the base rate, so that the score estimates a probability. A text
-without features gets the rate of label 1 among examples without features.
+cosine are found exactly: blocks are visited in the order of their bounds, reading only their own
+postings, until no bound can beat the k-th best. The examples vote with their cosines, weighted by
+how many labelled rows each stands for, against a small weight of the base rate. Isotonic regression
+over the examples' own votes, each without itself, turns votes into rates of label 1. A text without
+features gets the rate of label 1 among examples without features.
 """
 
 from __future__ import annotations
@@ -87,11 +88,19 @@ class Index:
             f.append(at)
             doc.append(np.full(len(at), i))
             w.append(x)
+        # Examples of the same heaviest feature lie together, so that bounds of blocks differ.
+        order = sorted(range(len(full)), key=lambda i: (f[i][w[i].argmax()], full[i][1], full[i][0]))
+        place = np.empty(len(full), dtype=np.int64)
+        place[order] = np.arange(len(full))
         f, doc, w = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (f, doc, w))
+        doc = place[doc]
+        self.example, self.label, self.vote = self.example[order], self.label[order], self.vote[order]
         order = np.lexsort((doc, f))
         self.doc, self.weight = doc[order].astype(np.int64), w[order].astype(np.float64)
         self.begin = np.searchsorted(f[order], np.arange(n_features + 1))
         self.blocks = -(-len(full) // BLOCK)
+        #: Where the postings of a feature in a block begin; those of its next block follow.
+        self.at_block = np.searchsorted(f[order] * self.blocks + self.doc // BLOCK, np.arange(n_features * self.blocks + 1)).astype(np.int32)
         self.most = np.zeros((n_features, self.blocks))
         np.maximum.at(self.most, (f[order], self.doc // BLOCK), self.weight)
         weigh = lambda found: (sum(stands_for[r[1]] * r[1] for r in found), sum(stands_for[r[1]] for r in found))
@@ -99,9 +108,13 @@ class Index:
         self.rate = one / every if every else 0.0
         one, every = weigh([r for r in rows if not r[2]])
         self.bare = (one + self.rate) / (every + 1)
+        self.curve: tuple[np.ndarray, np.ndarray] | None = None
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k best with a positive cosine, best first; ties to the smaller number."""
+        """(examples, cosines) of the k best with a positive cosine, best first; ties to the smaller example id.
+
+        Only the postings of visited blocks are read.
+        """
         bound = w @ self.most[at]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
@@ -111,30 +124,56 @@ class Index:
             if len(scores) >= k and scores[k - 1] > bound[order[done]] + 1e-12:
                 break
             here = order[done : done + step]
-            wanted = np.zeros(self.blocks, dtype=bool)
-            wanted[here] = True
-            d = [self.doc[self.begin[f] : self.begin[f + 1]] for f in at]
-            x = np.concatenate([v * self.weight[self.begin[f] : self.begin[f + 1]] for f, v in zip(at, w, strict=True)])
-            d = np.concatenate(d)
-            ok = wanted[d // BLOCK]
-            some, inverse = np.unique(d[ok], return_inverse=True)
-            docs = np.concatenate([docs, some])
-            scores = np.concatenate([scores, np.bincount(inverse, weights=x[ok], minlength=len(some))])
-            best = np.lexsort((docs, -scores))[:k]
+            cell = (at[:, None] * self.blocks + here).ravel()
+            begin = self.at_block[cell]
+            n = self.at_block[cell + 1] - begin
+            read = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+            slot = np.repeat(np.tile(np.arange(len(here)), len(at)), n) * BLOCK + self.doc[read] % BLOCK
+            total = np.bincount(slot, weights=np.repeat(np.repeat(w, len(here)), n) * self.weight[read], minlength=len(here) * BLOCK)
+            some = np.flatnonzero(total)
+            docs = np.concatenate([docs, here[some // BLOCK] * BLOCK + some % BLOCK])
+            scores = np.concatenate([scores, total[some]])
+            best = np.lexsort((self.example[docs], -scores))[:k]
             docs, scores = docs[best], scores[best]
             done, step = done + step, step * 4
         return docs, scores
 
-    def score(self, counts: Counter[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        if not counts or not len(self.label):
-            return self.bare, np.empty(0, np.int64), np.empty(0)
-        docs, cosines = self.nearest(*unit(counts, self.idf))
+    def voted(self, counts: Counter[int], leave: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The weighted vote of the nearest examples, without the example of id ``leave``; None of them: the base rate."""
+        docs, cosines = self.nearest(*unit(counts, self.idf), NEAREST + (leave is not None))
+        if leave is not None:
+            other = self.example[docs] != leave
+            docs, cosines = docs[other][:NEAREST], cosines[other][:NEAREST]
         if not len(docs):
             return self.bare, docs, cosines
         votes = cosines * self.vote[docs]
         base = BASE * float(np.mean(self.vote[docs]))
         return float((votes @ self.label[docs] + base * self.rate) / (votes.sum() + base)), docs, cosines
 
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """Fit the curve from votes to rates of label 1: isotonic regression over examples that didn't vote for themselves."""
+        order = np.argsort(votes, kind="stable")
+        pools: list[list[float]] = []  # weight, weighted vote, weighted label, rows
+        for v, y, w in zip(votes[order], labels[order], weights[order], strict=True):
+            pools.append([w, w * v, w * y, 1])
+            while len(pools) > 1 and (pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0] or pools[-2][1] * pools[-1][0] == pools[-1][1] * pools[-2][0]):
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+        if pools:
+            w, v, y, n = np.array(pools).T
+            rate = np.maximum.accumulate((y / w * n + self.rate) / (n + 1))  # one row of the base rate in each pool
+            self.curve = (v / w, rate)
+
+    def calibrated(self, vote: float) -> float:
+        """The rate of label 1 at a vote; a thousandth of the vote itself keeps the order of texts within a pool."""
+        return vote if self.curve is None else 0.999 * float(np.interp(vote, *self.curve)) + 0.001 * vote
+
+    def score(self, counts: Counter[int]) -> tuple[float, np.ndarray, np.ndarray]:
+        if not counts or not len(self.label):
+            return self.bare, np.empty(0, np.int64), np.empty(0)
+        vote, docs, cosines = self.voted(counts)
+        return (self.calibrated(vote) if len(docs) else vote), docs, cosines
+
 
 def drawn(labels: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[dict[int, int], DataFrame]:
     """Rows by label, and (doc_id, label, part) of the drawn ones: part 0 selects features, part 1 holds the examples.
@@ -204,7 +243,20 @@ def learn(docs: DataFrame, labels: DataFrame, selecting: int = SELECTING, exampl
     rows_b = [tuple(r) for r in part_b.mapInArrow(vectors, "doc_id long, label int, counts map<bigint,bigint>").collect()]  # bounded by the examples drawn
     rows_b.sort(key=lambda r: r[:2])
     held = Counter(r[1] for r in rows_b)
-    return chosen, Index(len(chosen), rows_b, {y: total[y] / max(1, held[y]) for y in total})
+    index = Index(len(chosen), rows_b, {y: total[y] / max(1, held[y]) for y in total})
+    indexed = docs.sparkSession.sparkContext.broadcast((chosen, index))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, index = indexed.value
+        make = Vectoriser(chosen)
+        for batch in batches:
+            found = [(y, index.voted(c, i)[0]) for i, text, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (c := make.counts(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], ["label", "vote"])
+
+    votes = part_b.mapInArrow(left_out, "label int, vote double").orderBy("vote", "label").collect()  # bounded like the examples
+    y = np.array([r[0] for r in votes], dtype=np.int64)
+    index.calibrate(np.array([r[1] for r in votes], dtype=np.float64), y, np.array([total[k] / held[k] for k in y.tolist()], dtype=np.float64))
+    return chosen, index
 
 
 def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -> tuple[list[str], Index]:
