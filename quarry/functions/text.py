@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -43,6 +44,23 @@ def base_of(name: Column) -> Column:
     return F.when(name.rlike(PART), F.regexp_extract(name, PART, 1)).otherwise(name)
 
 
+def in_family(source: Column, name: Column) -> Column:
+    """Whether a stored name is ``name`` itself or one of its parts."""
+    return (source == name) | (source.rlike(PART) & (F.regexp_extract(source, PART, 1) == name))
+
+
+def output_kind(kind: Column) -> Column:
+    """What a prepared file of a type is written as: text, csv or jsonl."""
+    return F.when(kind.isin("txt", "md", "pdf", "docx"), "text").when(kind == "csv", "csv").otherwise("jsonl")
+
+
+def prepared_names(name: Column, count: Column) -> Column:
+    """The names of the ``count`` prepared parts of a raw file, with the suffix of its output kind."""
+    kind = output_kind(source_type(name))
+    suffix = F.when(kind == "text", ".md").when(kind == "csv", ".csv").otherwise(".jsonl")
+    return part_files(stem(name), suffix, count)
+
+
 def part_files(stem_: Column, suffix: Column, count: Column) -> Column:
     """Names of ``count`` part files, numbered only if there are several."""
     several = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(stem_, F.lit("-part-"), F.lpad(i.cast("string"), 3, "0"), suffix))
@@ -64,20 +82,72 @@ def label(c: Column, most: int = 40) -> Column:
     return F.when(F.char_length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)
 
 
+def position_key(position: Column) -> Column:
+    return F.concat(F.lit("record "), F.format_number(position, 0))
+
+
 def record_key(first_cell: Column, position: Column) -> Column:
     """The first cell as label, else ``record N`` with thousands commas."""
-    return F.coalesce(F.nullif(label(first_cell), F.lit("")), F.concat(F.lit("record "), F.format_number(position, 0)))
+    return F.coalesce(F.nullif(label(first_cell), F.lit("")), position_key(position))
+
+
+class Number(str):
+    """A JSON number as it is written."""
+
+
+def compact_json(x) -> str:
+    if isinstance(x, Number):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{compact_json(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(compact_json, x)) + "]"
+    return json.dumps(x, ensure_ascii=False)
+
+
+@F.pandas_udf(StringType())
+def _first_value(s: pd.Series) -> pd.Series:
+    def first(text: str | None) -> str | None:
+        try:
+            found = json.loads(text or "", parse_int=Number, parse_float=Number)
+        except ValueError:
+            return None
+        value = next(iter(found.values()), None) if isinstance(found, dict) else None
+        return value if value is None or isinstance(value, str) else compact_json(value)
+
+    return s.map(first)
+
+
+def json_record_key(record: Column, position: Column) -> Column:
+    """The first top-level value of a JSON object as label; its position if there is none, or it is null or blank."""
+    return record_key(_first_value(record), position)
 
 
 def record_title(name: Column, n: Column, of: Column, most: int = 150) -> Column:
-    tail = F.concat(F.lit(", part "), n.cast("string"), F.lit(" of "), of.cast("string"))
-    return F.concat(F.substring(name, F.lit(1), F.lit(most) - F.char_length(tail)), tail)
+    """The name, with ``, part n of N`` if there are several; the name is cut to keep the title short."""
+    one = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+    tail = F.when(of > 1, F.concat(F.lit(", part "), n.cast("string"), F.lit(" of "), of.cast("string"))).otherwise("")
+    room = F.lit(most) - F.char_length(tail)
+    return F.concat(F.when(F.char_length(one) > room, F.concat(F.substring(one, F.lit(1), room - 1), F.lit("…"))).otherwise(one), tail)
+
 
+def words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
-def record_summary(count: Column, fields: Column, first: Column, last: Column, words: int = 80) -> Column:
-    named = F.array_join(F.slice(fields, 1, 20), ", ")
-    text = F.concat(F.format_number(count, 0), F.lit(" records. Fields: "), named, F.lit(". First: "), first, F.lit("; last: "), last)
-    return F.array_join(F.slice(F.split(text, " "), 1, words), " ")
+
+def record_summary(count: Column, fields: Column, first: Column, last: Column, most_fields: int = 20, most_words: int = 80) -> Column:
+    """``<n> records. Fields: a, b. First: x; last: y.`` with as many names as fit, then how many more there are."""
+    n = F.size(fields)
+
+    def text(shown: Column) -> Column:
+        more = F.when(n > shown, F.concat(F.lit(", and "), F.format_number(n - shown, 0), F.lit(" more"))).otherwise("")
+        named = F.when(n <= 0, "none").otherwise(F.concat(F.array_join(F.slice(fields, F.lit(1), shown), ", "), more))
+        ends = F.when(count > 0, F.concat(F.lit(" First: "), first, F.lit("; last: "), last, F.lit("."))).otherwise("")
+        return F.concat(F.format_number(count, 0), F.when(count == 1, " record").otherwise(" records"), F.lit(". Fields: "), named, F.lit("."), ends)
+
+    top = F.greatest(F.least(n, F.lit(most_fields)), F.lit(1))
+    fitting = F.filter(F.sequence(F.lit(1), top), lambda shown: words(text(shown)) <= most_words)
+    return text(F.coalesce(F.array_max(fitting), F.lit(1)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -153,12 +223,39 @@ def document_header(title: Column, summary: Column) -> Column:
     return F.when(usable, header)
 
 
+@F.pandas_udf(StringType())
+def _first_object(s: pd.Series) -> pd.Series:
+    decode = json.JSONDecoder().raw_decode
+
+    def first(text: str | None) -> str | None:
+        at = (text or "").find("{")
+        while at >= 0:
+            try:
+                return text[at : decode(text, at)[1]]
+            except ValueError:
+                at = text.find("{", at + 1)
+        return None
+
+    return s.map(first)
+
+
 def reply_object(c: Column) -> Column:
-    """The first JSON object in a model's reply, prose and fences tolerated."""
-    return F.regexp_extract(c, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
+    """The first JSON object in a model's reply, prose and fences tolerated; null without one.
+
+    Every brace is tried with a JSON decoder, so nested objects and braces within strings are whole.
+    """
+    return _first_object(c)
 
 
 def removal_lines(c: Column, n: Column) -> Column:
-    """The ``remove`` list of a reply if it holds only integers from 1 to n, else null."""
+    """The ``remove`` list of a reply, sorted and distinct, if it holds only integers from 1 to n, else null."""
     found = F.from_json(reply_object(c), "remove array<int>")["remove"]
-    return F.when(F.forall(found, lambda i: i.isNotNull() & (i >= 1) & (i <= n)), found)
+    return F.when(F.forall(found, lambda i: i.isNotNull() & (i >= 1) & (i <= n)), F.array_sort(F.array_distinct(found)))
+
+
+def usable_pair(reply: Column) -> Column:
+    """question, answer, ground_truth of a reply's object; null unless all are non-blank (ground_truth defaults to answer)."""
+    x = F.from_json(reply_object(reply), "question string, answer string, ground_truth string")
+    truth = F.coalesce(x["ground_truth"], x["answer"])
+    filled = [F.trim(F.regexp_replace(v, r"(?U)\s+", " ")) != "" for v in (x["question"], x["answer"], truth)]
+    return F.when(filled[0] & filled[1] & filled[2], F.struct(x["question"].alias("question"), x["answer"].alias("answer"), truth.alias("ground_truth")))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COPY = r"__(?:tuning|importing)_[0-9a-f]{32}$"
+# Fixed value: what the name of a copy ends with.
+COPY = r"__(?:tuning|importing)_[0-9a-f]{32}"
 
 
-def collection_chain(name: Column, depth: int = 8) -> Column:
-    """The name and what it is a copy of, down to the original."""
-    out, now = [name], name
-    for _ in range(depth):
-        now = F.regexp_replace(now, COPY, "")
-        out.append(now)
-    return F.array_distinct(F.array(*out))
+def collection_chain(name: Column) -> Column:
+    """The name and what it is a copy of, step by step down to the original, however often it was copied."""
+    tail = F.regexp_extract(name, rf"(?:{COPY})*$", 0)
+    ends = F.regexp_extract_all(tail, F.lit(f"({COPY})"), 1)
+    base = F.substring(name, F.lit(1), F.char_length(name) - F.char_length(tail))
+    return F.transform(F.sequence(F.size(ends), F.lit(0), F.lit(-1)), lambda i: F.concat(base, F.array_join(F.slice(ends, F.lit(1), i), "")))
 
 
 def granted(grants: DataFrame, group_grants: DataFrame, members: DataFrame) -> DataFrame:
@@ -55,6 +55,22 @@ def access_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return added.unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
 
 
-def collection_overview(configs: DataFrame, chunks: DataFrame) -> DataFrame:
+def collection_overview(configs: DataFrame, chunks: DataFrame, registry: DataFrame | None = None, visible: DataFrame | None = None) -> DataFrame:
+    """``configs`` with object_count; with ``registry`` (collection, created_at) that time, null where unregistered.
+
+    ``visible`` (collection) leaves the others out.
+    """
     counts = chunks.groupBy("collection").agg(F.count("*").alias("object_count"))
-    return configs.join(counts, "collection", "left").withColumn("object_count", F.coalesce("object_count", F.lit(0)))
+    out = configs.join(counts, "collection", "left").withColumn("object_count", F.coalesce("object_count", F.lit(0)))
+    if registry is not None:
+        out = out.join(registry.groupBy("collection").agg(F.min("created_at").alias("created_at")), "collection", "left")
+    return out if visible is None else out.join(visible.select("collection").distinct(), "collection", "left_semi")
+
+
+def may_use(asked: DataFrame, visible: DataFrame) -> DataFrame:
+    """``asked`` (user, collection, ...) with allowed, from the rows of ``visible_collections``."""
+    named = visible.where("user <> '*' and collection <> '*'").select("user", "collection").distinct().withColumn("_n", F.lit(True))
+    everyone = visible.where("user = '*'").select("collection").distinct().withColumn("_e", F.lit(True))
+    every = visible.where("collection = '*'").select("user").distinct().withColumn("_a", F.lit(True))
+    out = asked.join(named, ["user", "collection"], "left").join(everyone, "collection", "left").join(every, "user", "left")
+    return out.withColumn("allowed", F.coalesce("_n", "_e", "_a", F.lit(False))).drop("_n", "_e", "_a")

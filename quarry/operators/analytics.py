@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Upper bounds of the duration histogram, in seconds.
+from quarry.operators.chunking import in_order
+
+# Upper bounds of the duration histogram in seconds, and cells that a spreadsheet takes for formulas.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300]
 HOT_CELL = "^[=+\\-@\\t\\r]"
 
@@ -57,6 +62,15 @@ def admit_points(points: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("outcome") == "partial", "error").otherwise(F.col("outcome")))
 
 
+def request_counters(points: DataFrame, dims: list[str]) -> DataFrame:
+    """dims, count, active (sum of the steps in ``delta``), errors (points with an error type)."""
+    return points.groupBy(*dims).agg(F.count("*").alias("count"), F.sum(F.coalesce("delta", F.lit(0))).alias("active"), F.count("error_type").alias("errors"))
+
+
+def errors_by_type(points: DataFrame, dims: list[str]) -> DataFrame:
+    return points.where("error_type is not null").groupBy(*dims, "error_type").agg(F.count("*").alias("count"))
+
+
 def safe_attributes(attributes: Column, allowed: dict[str, list[str]]) -> Column:
     """The map's entries whose key is known and whose value is in its vocabulary, or a 32-digit token."""
     def ok(k: Column, v: Column) -> Column:
@@ -69,18 +83,19 @@ def safe_attributes(attributes: Column, allowed: dict[str, list[str]]) -> Column
 
 
 def recent_jobs(jobs: DataFrame, now: Column, owner: str | None = None, newest: int = 20, hours: int = 24) -> DataFrame:
-    """Running jobs, and the newest finished ones of the last hours; a principal sees only its own."""
+    """Running jobs, and the newest finished ones of the last hours, newest start first; a principal sees only its own."""
     own = jobs if owner is None else jobs.where(F.col("owner") == owner)
     running = own.where("status = 'running'")
     done = own.where((F.col("status") != "running") & (F.col("finished") > now - F.expr(f"interval {hours} hours")) & (F.col("finished") <= now))
     best = done.orderBy(F.desc("finished"), "id").limit(newest)
-    return running.unionByName(best)
+    started = F.coalesce("created_at", "finished") if "created_at" in jobs.columns else F.col("finished")
+    return running.unionByName(best).orderBy(started.desc_nulls_last(), "id")
 
 
 def recent_metrics(metrics: DataFrame, keep: Column, n: int, ring: int = 500) -> DataFrame:
-    """Of the last ``ring`` records, those to keep; of these the last n."""
+    """Of the last ``ring`` records, those to keep; of these the last n, oldest first."""
     last = metrics.orderBy(F.desc("ts"), F.desc("id")).limit(ring)
-    return last.where(keep).orderBy(F.desc("ts"), F.desc("id")).limit(n)
+    return last.where(keep).orderBy(F.desc("ts"), F.desc("id")).limit(n).orderBy("ts", "id")
 
 
 def audit_page(df: DataFrame, before: int | None, limit: int) -> DataFrame:
@@ -99,28 +114,51 @@ def csv_cell(c: Column) -> Column:
 
 
 def classify_requests(requests: DataFrame, templates: DataFrame) -> DataFrame:
-    """``requests`` (method, path) with the template that matches and its parameter.
+    """``requests`` (method, path) with the template that matches, its parameters by name, and the first of them.
 
-    Templates are split by method and number of path parts, so the match is an equi join.
+    Templates are split by method and number of path parts, so the match is an equi join. What is not
+    a parameter is compared as it is written.
     """
-    shape = F.size(F.split("path", "/"))
-    pattern = F.concat(F.lit("^"), F.regexp_replace("template", r"\{[^}]+\}", "([^/]+)"), F.lit("$"))
-    t = templates.select("method", "template", F.size(F.split("template", "/")).alias("_parts"), pattern.alias("_pattern"))
-    return requests.withColumn("_parts", shape).join(t, ["method", "_parts"]).where(F.expr("path rlike _pattern")).withColumn("parameter", F.when(F.col("_pattern").contains("("), F.expr("regexp_extract(path, _pattern, 1)"))).drop("_parts", "_pattern")
+    parts, names = F.split("template", "/"), r"^\{([^}]+)\}$"
+    t = templates.select("method", "template", F.size(parts).alias("_parts"), parts.alias("_t"))
+    out = requests.withColumn("_p", F.split("path", "/")).withColumn("_parts", F.size("_p")).join(t, ["method", "_parts"])
+    both = F.arrays_zip(F.col("_t").alias("t"), F.col("_p").alias("p"))
+    named = F.filter(both, lambda x: x["t"].rlike(names))
+    fits = F.forall(both, lambda x: F.when(x["t"].rlike(names), x["p"] != "").otherwise(x["t"] == x["p"]))
+    values = F.transform(named, lambda x: F.struct(F.regexp_extract(x["t"], names, 1).alias("key"), x["p"].alias("value")))
+    out = out.where(fits).withColumn("parameters", F.map_from_entries(values)).withColumn("parameter", F.get(values, F.lit(0))["value"])
+    return out.drop("_p", "_parts", "_t")
 
 
 def collapse_failed_logins(events: DataFrame, seconds: int = 60) -> DataFrame:
     """key, first, count, last: the first failure of a key opens a window; later ones within it are counted.
 
-    ``events``: key, ts (seconds). Windows are anchored at their first failure, so keys are folded in
-    order; salting by nothing else is possible, but a key's times are numbers only.
+    ``events``: key, ts (seconds). Windows are anchored at their first failure, so a key's times must
+    be read in order: they are counted per second first, and then pass through a task as a stream,
+    of which only the open window is held.
     """
-    step = lambda acc, t: F.when(F.size(acc) == 0, F.array(F.struct(t.alias("first"), F.lit(0).alias("count"), t.alias("last")))).otherwise(
-        F.when(
-            t < F.element_at(acc, -1)["first"] + seconds,
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), (F.element_at(acc, -1)["count"] + 1).alias("count"), t.alias("last")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(t.alias("first"), F.lit(0).alias("count"), t.alias("last")))))
-    )
-    times = events.groupBy("key").agg(F.array_sort(F.collect_list("ts")).alias("t"))
-    empty = F.expr("cast(array() as array<struct<first:bigint,count:int,last:bigint>>)")
-    return times.select("key", F.inline(F.aggregate("t", empty, step)))
+    counted = events.where("ts is not null").groupBy("key", F.col("ts").cast("long").alias("ts")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None  # key, first, count, last
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            done = []
+            for key, t, n in zip(*(batch.column(c).to_pylist() for c in ("key", "ts", "n")), strict=True):
+                if open_ is not None and open_[0] == key and t < open_[1] + seconds:
+                    open_ = (key, open_[1], open_[2] + n, t)
+                else:
+                    if open_ is not None:
+                        done.append(open_)
+                    open_ = (key, t, n - 1, t)
+            yield windows(done, kind)
+        if open_ is not None:
+            yield windows([open_], kind)
+
+    def windows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int32(), pa.int64()), strict=True)], ["key", "first", "count", "last"])
+
+    kind = events.schema["key"].dataType.simpleString()
+    return in_order(counted, ("key",), "ts").mapInArrow(run, f"key {kind}, first long, count int, last long")

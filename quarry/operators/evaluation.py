@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import aliases, reply_object
+from quarry.functions.text import aliases, usable_pair
 
 
 def sample_priority(uuid_hex: Column, seed: int | str) -> Column:
@@ -40,10 +40,9 @@ def generate_pairs(sample: DataFrame, fn: Callable[[str], str], retries: int = 1
             yield pd.DataFrame({"id": g["id"], "reply": replies, "error": errors})
 
     raw = sample.select("id", "content").mapInPandas(run, "id long, reply string, error string")
-    x = F.from_json(reply_object(F.col("reply")), "question string, answer string, ground_truth string")
-    out = raw.select("id", "error", x["question"].alias("question"), x["answer"].alias("answer"), F.coalesce(x["ground_truth"], x["answer"]).alias("ground_truth"))
-    blank = (F.trim(F.coalesce("question", F.lit(""))) == "") | (F.trim(F.coalesce("answer", F.lit(""))) == "")
-    return out.withColumn("error", F.coalesce("error", F.when(blank, "unusable reply")))
+    pair = usable_pair(F.col("reply"))
+    out = raw.withColumn("_p", pair).select("id", "_p.question", "_p.answer", "_p.ground_truth", "error")
+    return out.withColumn("error", F.coalesce("error", F.when(F.col("question").isNull(), "unusable reply")))
 
 
 def regenerate_pairs(pairs: DataFrame, fresh: DataFrame, seen: DataFrame) -> DataFrame:
@@ -55,21 +54,47 @@ def regenerate_pairs(pairs: DataFrame, fresh: DataFrame, seen: DataFrame) -> Dat
     return out.withColumn("answer", F.when(ok, F.col("_fa")).otherwise(F.col("answer"))).withColumn("question", F.when(ok, F.col("_fq")).otherwise(F.col("question"))).drop("_q", "_fq", "_fa")
 
 
+EDITABLE = ("question", "answer", "ground_truth")
+STATUSES = ("approved", "edited", "rejected", "pending")
+
+
+def edit_problem(edits: DataFrame) -> Column:
+    """Why an edit is refused: blank content, unknown status, or content without the status ``edited``; else null."""
+    content = [F.col(f) for f in EDITABLE if f in edits.columns]
+    changed, blank = F.lit(False), F.lit(False)
+    for c in content:
+        changed = changed | c.isNotNull()
+        blank = blank | F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")) == "", F.lit(False))
+    unknown = F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES)
+    return F.when(blank, "blank content").when(unknown, "unknown status").when(changed & ~F.col("status").eqNullSafe("edited"), "content needs the status edited")
+
+
+def rejected_edits(edits: DataFrame) -> DataFrame:
+    """pair_id, reason of the edits that are refused."""
+    return edits.select("pair_id", edit_problem(edits).alias("reason")).where("reason is not null")
+
+
 def apply_pair_edits(pairs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Non-null edits win; an edit with blank content or an unknown status is refused."""
-    e = edits.select("pair_id", F.col("answer").alias("_a"), F.col("status").alias("_s"))
-    content = F.col("_a").isNotNull()
-    bad = (content & (F.trim("_a") == "")) | ~F.coalesce("_s", F.lit("pending")).isin("approved", "edited", "rejected", "pending") | (content & (F.coalesce("_s", F.lit("")) != "edited"))
-    out = pairs.join(e, "pair_id", "left").withColumn("refused", F.coalesce(bad & (content | F.col("_s").isNotNull()), F.lit(False)))
-    ok = ~F.col("refused")
-    return out.withColumn("answer", F.when(ok, F.coalesce("_a", "answer")).otherwise(F.col("answer"))).withColumn("status", F.when(ok, F.coalesce("_s", "status")).otherwise(F.col("status"))).drop("_a", "_s")
+    """``pairs`` with refused: non-null edit fields win unless the edit is refused (``rejected_edits`` says why).
+
+    ``edits``: pair_id, status and any of question, answer and ground_truth; one row a pair.
+    """
+    fields = [f for f in (*EDITABLE, "status") if f in edits.columns and f in pairs.columns]
+    e = edits.select("pair_id", edit_problem(edits).isNotNull().alias("_bad"), *[F.col(f).alias(f"_{f}") for f in fields])
+    out = pairs.join(e, "pair_id", "left").withColumn("refused", F.coalesce("_bad", F.lit(False)))
+    for f in fields:
+        out = out.withColumn(f, F.when(~F.col("refused"), F.coalesce(f"_{f}", f)).otherwise(F.col(f)))
+    return out.drop("_bad", *[f"_{f}" for f in fields])
 
 
 def session_progress(pairs: DataFrame) -> DataFrame:
-    done = F.count("question")
-    failed = F.count("error")
+    """session, total, completed, failed, status; with a column ``cancelled``, also attempted and that status."""
+    done, failed = F.count("question"), F.count("error")
     status = F.when((done == 0) & (failed > 0), "failed").otherwise("completed")
-    return pairs.groupBy("session").agg(F.count("*").alias("total"), done.alias("completed"), failed.alias("failed"), status.alias("status"))
+    if "cancelled" not in pairs.columns:
+        return pairs.groupBy("session").agg(F.count("*").alias("total"), done.alias("completed"), failed.alias("failed"), status.alias("status"))
+    status = F.when(F.max(F.col("cancelled").cast("int")) == 1, "cancelled").otherwise(status)
+    return pairs.groupBy("session").agg(F.count("*").alias("total"), (done + failed).alias("attempted"), done.alias("completed"), failed.alias("failed"), status.alias("status"))
 
 
 def eval_export_counts(pairs: DataFrame) -> DataFrame:
@@ -77,6 +102,14 @@ def eval_export_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("session").agg(F.sum(saved.cast("long")).alias("saved"), F.sum((~saved).cast("long")).alias("excluded"))
 
 
+def eval_export(pairs: DataFrame, sessions: DataFrame, allow_historical: bool = False) -> DataFrame:
+    """Counts per session with refused: a stale or orphaned session is no current baseline unless allowed."""
+    old = F.coalesce("stale", F.lit(False)) | F.coalesce("orphaned", F.lit(False))
+    state = sessions.select("session", old.alias("historical"))
+    out = eval_export_counts(pairs).join(state, "session", "left").withColumn("historical", F.coalesce("historical", F.lit(False)))
+    return out.withColumn("refused", F.col("historical") & F.lit(not allow_historical))
+
+
 def eval_set(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("status").isin("approved", "edited")).select("question", "answer", "contexts", "ground_truth")
 
@@ -88,8 +121,15 @@ def flag_sessions(sessions: DataFrame, collections: DataFrame, flag: str, reason
     return out.withColumn(flag, F.coalesce("_hit", F.lit(False))).withColumn("reason", F.when(F.col("_hit"), reason)).drop("_hit")
 
 
-def import_sessions(sessions: DataFrame, existing: DataFrame) -> DataFrame:
-    """Sessions under their id if it is free, else under a new one that names the old."""
-    taken = existing.select("session").distinct().withColumn("_taken", F.lit(True))
-    out = sessions.join(taken, "session", "left")
-    return out.withColumn("imported_from", F.struct(F.col("session").alias("session"))).withColumn("session", F.when(F.col("_taken"), F.concat(F.lit("imported-"), F.substring(F.sha2(F.col("session").cast("string"), 256), 1, 8))).otherwise(F.col("session").cast("string"))).drop("_taken")
+#: Fields that belong to the installation a session comes from.
+LOCAL_FIELDS = ("owner", "created_at", "finished_at")
+
+
+def import_sessions(sessions: DataFrame, existing: DataFrame, collection: Column | str | None = None) -> DataFrame:
+    """Sessions under their id if it is free, else under a new one, with where they come from; local fields go."""
+    taken = existing.select(F.col("session").cast("string").alias("session")).distinct().withColumn("_taken", F.lit(True))
+    own = F.col("session").cast("string")
+    origin = [own.alias("session")] if collection is None else [own.alias("session"), (F.lit(collection) if isinstance(collection, str) else collection).alias("collection")]
+    out = sessions.drop(*LOCAL_FIELDS).withColumn("imported_from", F.struct(*origin)).withColumn("session", own).join(taken, "session", "left")
+    fresh = F.concat(F.lit("imported-"), F.substring(F.sha2(F.col("session"), 256), 1, 8))
+    return out.withColumn("session", F.when(F.col("_taken"), fresh).otherwise(F.col("session"))).drop("_taken")

@@ -12,8 +12,15 @@ from quarry.functions.text import citation_text, distance, dot, score
 
 #: BM25's usual constants (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
-#: Queries up to this many are broadcast; more are joined in blocks.
-MOST_BROADCAST = 20_000
+#: Bytes of query vectors that are broadcast, or sent to one block of chunks, at once.
+MOST_BYTES = 32 << 20
+#: Asked terms that every task holds; more are joined.
+MOST_TERMS = 20_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once, where the session names a folder for checkpoints; what reads it twice doesn't make it twice."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -25,21 +32,24 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 def paired(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query with every chunk; the queries' vector becomes _q.
 
-    The queries' number is checked: a small set is broadcast; a larger one meets the chunks in
-    blocks of a grid, so that neither side is collected.
+    The bytes of the queries are checked: a small set is broadcast. More queries meet the chunks on a
+    grid: a block of queries and a block of chunks are one key, so no key holds all rows of a side.
     """
     q = queries.withColumnRenamed("vector", "_q")
-    n = queries.count()
-    blocks = max(1, -(-n // MOST_BROADCAST))
-    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    dealt = chunks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.join(F.broadcast(q) if blocks == 1 else q, "_b").drop("_b")
+    n, width = queries.agg(F.count("*"), F.max(F.greatest(F.size("vector"), F.lit(0)))).first()
+    blocks = max(1, -(-n * (8 * (width or 0) + 64) // MOST_BYTES))
+    if blocks == 1:
+        return chunks.withColumn("_b", F.lit(0)).join(F.broadcast(q.withColumn("_b", F.lit(0))), "_b").drop("_b")
+    spread = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    dealt = chunks.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(spread))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.join(q, ["_b", "_c"]).drop("_b", "_c")
 
 
 def score_pairs(queries: DataFrame, chunks: DataFrame, metric: str = "cosine") -> DataFrame:
     """query_id, id, distance, score of a stated set of queries against all chunks."""
     d = distance(F.col("_q"), F.col("vector"), metric)
-    pairs = paired(queries.select("query_id", "vector"), chunks)
+    pairs = paired(queries.select("query_id", "vector", *[c for c in ("_of",) if c in queries.columns]), chunks)
     return pairs.withColumn("distance", d).withColumn("score", score(F.col("distance"), metric)).drop("_q")
 
 
@@ -97,33 +107,72 @@ def near_vector_approx(queries: DataFrame, chunks: DataFrame, k: int, bits: int
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: keyword relevance over content; only the queries' terms are shuffled."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, id, score (BM25 over content) of every chunk that holds an asked term.
+
+    A chunk's asked terms are counted within its row; only these counts are joined. With a column
+    ``collection`` on both sides, a question meets the chunks of its collection, and so do the statistics.
+    """
+    by = ["collection"] if "collection" in queries.columns and "collection" in chunks.columns else []
+    terms = queries.select("query_id", *by, F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     asked = terms.select("term").distinct()
-    sized = chunks.select("id", tokens(F.col("content")).alias("_t")).withColumn("dl", F.size("_t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("id", "dl", F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    sized = chunks.select("id", *by, tokens(F.col("content")).alias("_t"))
+    known = [r[0] for r in asked.limit(MOST_TERMS + 1).collect()]  # bounded
+    if len(known) <= MOST_TERMS:
+        hits = F.filter("_t", lambda t: t.isin(known)) if known else F.array().cast("array<string>")
+        counted = F.transform(F.array_distinct("_h"), lambda d: F.struct(d.alias("term"), F.size(F.filter("_h", lambda t: t == d)).cast("long").alias("tf")))
+        rows = settled(sized.select("id", *by, F.size("_t").alias("dl"), hits.alias("_h")).select("id", *by, "dl", counted.alias("_c")))
+        tf = rows.select("id", *by, "dl", F.inline("_c"))
+        lengths = rows
+    else:
+        lengths = sized.select("id", *by, F.size("_t").alias("dl"))
+        tf = sized.select("id", *by, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf"))
+    stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(F.broadcast(stats)).withColumn("w", weight).join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return top_k(scored, k)
+    # One row for each term (and collection): far fewer than the counts they are joined to.
+    told = df.join(stats, by) if by else df.join(F.broadcast(stats))
+    return tf.join(told, [*by, "term"]).withColumn("w", weight).join(terms, [*by, "term"]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
 
 
-def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float, k: int) -> DataFrame:
-    """Both lists min-max scaled per query and mixed: alpha for vectors, the rest for keywords."""
-    w = W.partitionBy("query_id")
+def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: keyword relevance over content; only the queries' terms are shuffled."""
+    return top_k(keyword_scores(queries, chunks), k)
 
-    def scaled(hits: DataFrame, name: str) -> DataFrame:
-        low, high = F.min("score").over(w), F.max("score").over(w)
-        return hits.select("query_id", "id", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0).alias(name))
 
-    both = scaled(vector_hits, "v").join(scaled(keyword_hits, "b"), ["query_id", "id"], "full_outer")
-    mixed = alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0))
-    return top_k(both.select("query_id", "id", F.round(mixed, 9).alias("score")), k)
+def hybrid(queries: DataFrame, chunks: DataFrame, alpha: float | Column, k: int, metric: str = "cosine") -> DataFrame:
+    """query_id, id, score, rank: both scores min-max scaled over all chunks of a query and mixed.
+
+    ``alpha`` is the share of the vectors' score, the rest that of the keywords'; a chunk without an
+    asked term has no keyword score. ``queries``: query_id, question, vector; ``chunks``: id, content,
+    vector; with ``collection`` on both sides questions meet their own collection. The result is exact:
+    a chunk among the k best either holds an asked term or is among the k best by vector.
+    """
+    by = ["collection"] if "collection" in queries.columns and "collection" in chunks.columns else []
+    alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
+    asked = queries.select("query_id", "vector", *[F.col(c).alias("_of") for c in by])
+    pairs = score_pairs(asked, chunks.select("id", "vector", *by), metric)
+    pairs = pairs.where(F.col("_of") == F.col("collection")) if by else pairs
+    near = pairs.select("query_id", "id", "score").where("score is not null")
+    ends = near.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    words = keyword_scores(queries.drop("vector"), chunks.drop("vector"))
+    b_ends = words.groupBy("query_id").agg(F.min("score").alias("_blow"), F.max("score").alias("_bhigh"))
+    d = distance(F.col("_q"), F.col("vector"), metric)
+    held = words.join(chunks.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").select("query_id", "id", score(d, metric).alias("v"), F.col("score").alias("b"))
+    best = top_k(near, k).select("query_id", "id", F.col("score").alias("v"))
+    rest = best.join(words.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("b", F.lit(None).cast("double"))
+    every = held.unionByName(rest).join(ends, "query_id", "left").join(b_ends, "query_id", "left")
+
+    def scaled(value: str, low: str, high: str) -> Column:
+        return F.when(F.col(value).isNull(), 0.0).when(F.col(high) > F.col(low), (F.col(value) - F.col(low)) / (F.col(high) - F.col(low))).otherwise(1.0)
+
+    if "_alpha" in queries.columns:
+        every = every.join(queries.select("query_id", "_alpha"), "query_id")
+    mixed = alpha * scaled("v", "_low", "_high") + (1 - alpha) * scaled("b", "_blow", "_bhigh")
+    return top_k(every.select("query_id", "id", F.round(mixed, 9).alias("score")), k)
 
 
 def near_text(questions: DataFrame, chunks: DataFrame, k: int, embed: Callable[[Column], Column]) -> DataFrame:
@@ -139,3 +188,32 @@ def build_context(hits: DataFrame, engineer: bool = False) -> DataFrame:
     source = F.concat(F.lit(" (source: "), F.col("source_file"), F.lit(", chunk "), F.col("chunk_index").cast("string"), F.lit(")")) if engineer else F.lit("")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"), source, F.lit(" "), F.col("content"))
     return hits.withColumn("_l", line).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_l"))), lambda x: x["_l"]), "\n\n").alias("context"))
+
+
+#: The most hits a question may ask for.
+MOST_HITS = 50
+
+
+def batch_query(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, settings: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """query_id, status, chunks_retrieved, citations, context of every question, by its collection's settings.
+
+    ``questions``: query_id, user, collection, question; ``chunks``: id, collection, source_file,
+    chunk_index, content, vector; ``allowed``: user, collection; ``settings``: collection,
+    retrieval_mode, top_k, alpha, response_format. A question to a collection that its user may not use,
+    or that has no settings, is ``not found``, as if the collection weren't there. Modes flat and hnsw
+    are both exact here; semantic embeds the question likewise.
+    """
+    mine = allowed.select("user", "collection").distinct()
+    known = questions.join(mine, ["user", "collection"], "left_semi").join(settings.select("collection", "retrieval_mode", "top_k", F.col("alpha").alias("_alpha"), "response_format"), "collection")
+    known = settled(known.withColumn("vector", embed(F.col("question"))))
+    near = known.where("retrieval_mode <> 'hybrid'").select("query_id", "vector", F.col("collection").alias("_of"))
+    pairs = score_pairs(near, chunks.select("id", "vector", "collection")).where("_of = collection").select("query_id", "id", "score")
+    mixed = hybrid(known.where("retrieval_mode = 'hybrid'").select("query_id", "collection", "question", "vector", "_alpha"), chunks.select("id", "collection", "content", "vector"), F.col("_alpha"), MOST_HITS)
+    hits = top_k(pairs, MOST_HITS).unionByName(mixed)
+    hits = hits.join(known.select("query_id", "top_k", "response_format"), "query_id").where("rank <= top_k")
+    found = settled(hits.join(chunks.select("id", "source_file", "chunk_index", "content"), "id"))
+    cited = citations(found).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_file", "chunk_index", "score", F.col("content").alias("excerpt")))).alias("citations"))
+    context = build_context(found.where("response_format <> 'engineer'")).unionByName(build_context(found.where("response_format = 'engineer'"), engineer=True))
+    out = questions.select("query_id").join(known.select("query_id", F.lit("ok").alias("status")), "query_id", "left").join(cited, "query_id", "left").join(context, "query_id", "left")
+    n = F.when(F.col("status") == "ok", F.coalesce(F.greatest(F.size("citations"), F.lit(0)), F.lit(0)))
+    return out.select("query_id", F.coalesce("status", F.lit("not found")).alias("status"), n.alias("chunks_retrieved"), "citations", F.when(F.col("status") == "ok", F.coalesce("context", F.lit(""))).alias("context"))

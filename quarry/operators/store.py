@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quarry.functions.text import base_of, property_digest, vector_digest
+from quarry.functions.text import base_of, in_family, property_digest, vector_digest
 
 
 def index_sources(files: DataFrame) -> DataFrame:
@@ -53,10 +57,23 @@ def duplicate_names(files: DataFrame, key: str = "name", order: str = "seq") ->
     return files.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("inputs")).where(F.size("inputs") > 1)
 
 
-def replace_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """New chunks, and the current ones of families that the new names don't replace."""
-    families = incoming.select(base_of(F.col("source_file")).alias("_base")).distinct()
-    kept = current.withColumn("_base", base_of(F.col("source_file"))).join(families, "_base", "left_anti").drop("_base")
+def filter_family(df: DataFrame, name: str) -> DataFrame:
+    """Rows stored under the name itself or as one of its parts."""
+    return df.where(in_family(F.col("source_file"), F.lit(name)))
+
+
+def replace_documents(current: DataFrame, incoming: DataFrame, names: DataFrame | None = None, expected: int | None = None) -> DataFrame:
+    """New chunks, and the current ones of families that the new names don't replace.
+
+    A family is a name with its parts. ``names`` (source_file) are the names that are replaced; where
+    documents arrive as parts these are their whole names. By default they are the names of
+    ``incoming`` itself. With ``expected``, another number of new chunks stops it before anything goes.
+    """
+    if expected is not None and (n := incoming.count()) != expected:
+        raise ValueError(f"{n} new chunks; {expected} were expected, so none is replaced")
+    families = (names if names is not None else incoming).select(F.col("source_file").alias("_name")).distinct()
+    kept = current.join(families, F.col("source_file") == F.col("_name"), "left_anti")
+    kept = kept.withColumn("_base", F.when(base_of(F.col("source_file")) != F.col("source_file"), base_of(F.col("source_file")))).join(families.withColumnRenamed("_name", "_base"), "_base", "left_anti").drop("_base")
     return kept.unionByName(incoming)
 
 
@@ -118,16 +135,64 @@ def rebuildable_names(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     return chunks.select("source_file").intersect(listed_names(sources).select(F.col("name").alias("source_file")))
 
 
-def write_chunks(chunks: DataFrame, path: str, expected: int) -> None:
-    """Stage a version next to the table, verify its count, and only then replace the documents' partitions."""
-    spark = chunks.sparkSession
-    staged = f"{path.rstrip('/')}__staged"
-    chunks.write.mode("overwrite").parquet(staged)
-    again = spark.read.schema(chunks.schema).parquet(staged)
-    if (n := again.count()) != expected:
-        raise ValueError(f"{n} chunks were written; {expected} were expected")
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """version, batch of the committed versions of a chunk table; empty for a new one."""
+    schema = "version long, batch string"
+    try:
+        return spark.read.schema(schema).json(f"{path}/commits")
+    except AnalysisException:  # nothing was committed yet
+        return spark.createDataFrame([], schema)
+
 
+def write_chunks(chunks: DataFrame, path: str, expected: int | None = None, names: DataFrame | None = None, batch: str | None = None) -> int:
+    """Write one version of a chunk table, verify it, and only then commit it; the number of the version.
 
-def delete_collection(name_aliases: list[str], *tables: DataFrame) -> list[DataFrame]:
-    return [t.where(~F.col("collection").isin(name_aliases) | F.col("collection").isNull()) for t in tables]
+    A version holds new chunks and the names (source_file) they replace, by default their own names;
+    what it replaces is left out when read. Nothing that was written before is touched, so a failure
+    at any point leaves the table as it was. Chunks are verified by number, properties and, with a
+    column ``vector``, vectors. A ``batch`` that was committed before is not written again.
+    """
+    spark = chunks.sparkSession
+    before = versions(spark, path)
+    if batch is not None and (old := before.where(F.col("batch") == batch).agg(F.max("version")).first()[0]) is not None:
+        return old
+    number = before.agg(F.coalesce(F.max("version"), F.lit(-1)) + 1).first()[0]
+    own = (names if names is not None else chunks).select("source_file").distinct()
+    at = f"{path}/version={number}"
+    chunks.write.mode("overwrite").parquet(at)
+    own.write.mode("overwrite").parquet(f"{path}/names/version={number}")
+    again = spark.read.schema(chunks.schema).parquet(at)
+    n = again.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} chunks were written; {expected} were expected")
+    if not verify_rebuild(chunks, again).isEmpty():
+        raise ValueError("the chunks read back differ from those written")
+    spark.range(1).select(F.lit(number).cast("long").alias("version"), F.lit(batch).cast("string").alias("batch")).coalesce(1).write.mode("append").json(f"{path}/commits")
+    return number
+
+
+def read_chunks(spark: SparkSession, path: str, schema: StructType, version: int | None = None) -> DataFrame:
+    """The chunks of a table as of a version, the latest by default: each family's rows of the version that named it last."""
+    found = sorted(r[0] for r in versions(spark, path).select("version").collect())  # one row a version
+    numbers = [n for n in found if version is None or n <= version]
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    rows = [spark.read.schema(schema).parquet(f"{path}/version={n}").withColumn("_version", F.lit(n)) for n in numbers]
+    named = [spark.read.schema("source_file string").parquet(f"{path}/names/version={n}").withColumn("_last", F.lit(n)) for n in numbers]
+    last = reduce(DataFrame.unionByName, named).groupBy(F.col("source_file").alias("_name")).agg(F.max("_last").alias("_last"))
+    every = reduce(DataFrame.unionByName, rows)
+    own = every.join(last, F.col("source_file") == F.col("_name"), "left").drop("_name").withColumnRenamed("_last", "_own")
+    base = F.when(base_of(F.col("source_file")) != F.col("source_file"), base_of(F.col("source_file")))
+    both = own.withColumn("_base", base).join(last.withColumnRenamed("_name", "_base"), "_base", "left")
+    return both.where(F.col("_version") >= F.greatest(F.coalesce("_own", F.lit(-1)), F.coalesce("_last", F.lit(-1)))).select(*schema.names)
+
+
+def delete_collection(name: str, tables: list[DataFrame], sessions: DataFrame | None = None) -> list[DataFrame]:
+    """The tables without a collection under both spellings; sessions, which come last, stay and are flagged orphaned."""
+    spellings = F.array_distinct(F.array(F.concat(F.lit(name[:1].upper()), F.lit(name[1:])), F.concat(F.lit(name[:1].lower()), F.lit(name[1:]))))
+    hit = F.coalesce(F.array_contains(spellings, F.col("collection")), F.lit(False))
+    out = [t.where(~hit) for t in tables]
+    if sessions is not None:
+        had = F.coalesce("orphaned", F.lit(False)) if "orphaned" in sessions.columns else F.lit(False)
+        out.append(sessions.withColumn("orphaned", had | hit))
+    return out

@@ -65,8 +65,7 @@ step(source_file, pos, part, used) AS (
   FROM step s JOIN u ON u.source_file = s.source_file AND u.pos = s.pos + 1)
 SELECT u.source_file, s.part AS chunk_index, string_agg(u.text, ' ' ORDER BY u.pos) AS content FROM u JOIN step s USING (source_file, pos) GROUP BY 1, 2""")
 def chunk_context_aware(s, d):
-    lines = K.document_lines(documents(s, d)).where(F.trim("text") != "").select("source_file", F.col("line").alias("pos"), "text")
-    return C.chunk_context_aware(lines, 1000)
+    return C.packed_texts(documents(s, d), lambda t: [x for x in t.split("\n") if x.strip(" ")], 1000)
 
 
 @query(f"""WITH RECURSIVE {LINES}, u AS (SELECT source_file, line::INT AS line, length(text) + 1 AS n FROM lines),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.models import hashed_words
+from quarry.operators import chunking as C
 from quarry.operators import evaluation as G
 from quarry.operators import maintenance as M
 from quarry.operators import retrieval as R
@@ -120,7 +121,7 @@ def undo_version(s, d):
 
 @query(rf"WITH {STORED} SELECT source_file, count(*)::BIGINT AS chunks FROM stored WHERE source_file = 'src0/0.txt' OR regexp_extract(source_file, '^(.*) \(part [1-9][0-9]*\)$', 1) = 'src0/0.txt' GROUP BY 1")
 def filter_family(s, d):
-    return stored(s, d).where(T.base_of(F.col("source_file")) == "src0/0.txt").groupBy("source_file").agg(F.count("*").alias("chunks"))
+    return S.filter_family(stored(s, d), "src0/0.txt").groupBy("source_file").agg(F.count("*").alias("chunks"))
 
 
 @query(f"WITH {STORED} SELECT source_file, chunk_index, doc_id FROM stored WHERE source_file = 'src1/1.txt'")
@@ -239,6 +240,15 @@ e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok), tf AS (SELECT id, dl
 b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), st GROUP BY 1, 2)"""
 
 
+def with_contents(s, d, hits):
+    """Hits with their chunks: only the documents of hits are chunked again."""
+    hits = R.settled(hits)
+    named = F.broadcast(hits.select(F.floor(F.col("id") / 100_000).alias("doc_id")).distinct())  # k hits a question
+    chunks = C.chunk_overlap(documents(s, d).join(named, "doc_id", "left_semi"), 1000, 200, 300)
+    doc = F.regexp_extract("source_file", r"doc-(\d+)\.txt$", 1).cast("long")
+    return hits.join(chunks.withColumn("id", doc * 100_000 + F.col("chunk_index")), "id")
+
+
 @query(f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM b) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25(s, d):
     return R.bm25(questions(s, d), contents(s, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
@@ -246,20 +256,20 @@ def bm25(s, d):
 
 @query(f"WITH {BM25}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM b), top AS (SELECT query_id, rank, content FROM r JOIN (SELECT doc_id * 100000 + chunk_index AS id, content FROM chunks) USING (id) WHERE rank <= 3) SELECT query_id, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY 1")
 def build_context(s, d):
-    hits = R.bm25(questions(s, d), contents(s, d), 3)
-    return R.build_context(hits.join(contents(s, d), "id"))
+    return R.build_context(with_contents(s, d, R.bm25(questions(s, d), contents(s, d), 3)))
 
 
 @query(f"WITH {BM25}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM b) SELECT query_id, rank, source_file, chunk_index, round_even(score, 4) AS score, substring(content, 1, 200) AS content FROM r JOIN (SELECT doc_id * 100000 + chunk_index AS id, source_file, chunk_index, content FROM chunks) USING (id) WHERE rank <= 5")
 def citations(s, d):
-    return R.citations(R.bm25(questions(s, d), contents(s, d), 5).join(contents(s, d), "id"))
+    return R.citations(with_contents(s, d, R.bm25(questions(s, d), contents(s, d), 5)))
 
 
 @query()
 def hybrid(s, d):
     embed = hashed_words(32)
-    near = R.near_text(questions(s, d), contents(s, d).select("id", embed(F.col("content")).alias("vector")), 50, embed)
-    return R.hybrid(near, R.bm25(questions(s, d), contents(s, d), 50), 0.5, 10)
+    asked = questions(s, d).withColumn("vector", embed(F.col("question")))
+    chunks = R.settled(contents(s, d).select("id", "content", embed(F.col("content")).alias("vector")))
+    return R.hybrid(asked, chunks, 0.5, 10)
 
 
 @query()

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions.text import source_type
 from quarry.operators.analytics import csv_cell
+from quarry.operators.maintenance import package_manifest
 
+#: Characters that one flattened JSON record may hold.
+MOST_FLAT = 1 << 30
 SUPPORTED = ["txt", "md", "csv", "json", "jsonl"]
 CHUNK = "id string, vector array<float>, properties struct<content string, source_file string, source_type string, chunk_index int, chunk_strategy string, chunk_size int, chunk_overlap int, created_at string>, source_sha256 string"
 
@@ -20,9 +27,22 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("source_type", source_type(F.col("source_file")))
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows under the file's header; quoted line breaks are part of a cell."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def read_csv_rows(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """source_file, pos (from 1), cells, header: every later row of each file, with the file's first row as header.
+
+    Quoted line breaks are part of a cell. ``width`` is the most cells of a row, by default those of
+    the first file's first row.
+    """
+    read = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    if width is not None:
+        read = read.schema(", ".join(f"_c{i} string" for i in range(width)))
+    raw = read.csv(path, header=False)
+    cells = F.array(*[F.col(c) for c in raw.columns])
+    last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
+    rows = raw.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("_at"), F.transform(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))), lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+    # A file with quoted line breaks is read by one task, in order; its first row has the least number.
+    first = rows.groupBy("source_file").agg(F.min(F.struct("_at", "cells")).alias("_h")).select("source_file", F.col("_h._at").alias("_first"), F.col("_h.cells").alias("header"))
+    return rows.join(first, "source_file").where("_at > _first").select("source_file", (F.col("_at") - F.col("_first")).alias("pos"), "cells", "header")
 
 
 def json_records(df: DataFrame, c: str = "text") -> DataFrame:
@@ -33,9 +53,28 @@ def json_records(df: DataFrame, c: str = "text") -> DataFrame:
 
 
 def read_jsonl_records(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, line, record: whole files are cut at line ends, so line numbers are exact; gzip is read too."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return rows.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("_p", "record")).select("source_file", (F.col("_p") + 1).alias("line"), "record")
+    """source_file, line (from 1), record: every line of the files, gzip too; no file is held whole.
+
+    Large files are read in blocks. Lines are numbered within their block, and each block by the
+    lines of the blocks before it.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("record"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = None, 0
+        for batch in batches:
+            out = []
+            for own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                key, n = own, 1 if own != key else n + 1
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["source_file", "_block", "record", "_n"])
+
+    lines = raw.mapInArrow(number, "source_file string, _block long, record string, _n long")
+    before = W.partitionBy("source_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("source_file", "_block").agg(F.max("_n").alias("_lines")).withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    out = lines.join(blocks, ["source_file", "_block"]).withColumn("line", F.col("_before") + F.col("_n"))
+    bare = F.when(F.col("line") == 1, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
+    return out.select("source_file", "line", F.regexp_replace(bare, "\r$", "").alias("record"))
 
 
 def jsonl_quality(lines: DataFrame, longest: int = 10_000_000, most: int = 1_000_000) -> DataFrame:
@@ -62,12 +101,22 @@ def accepted_and_skipped(files: DataFrame) -> DataFrame:
 
 
 def write_chunk_package(chunks: DataFrame, path: str) -> None:
-    chunks.select("id", "vector", "properties", "source_sha256").write.json(path)
+    """One JSON object a chunk under ``path``; counts, dimensions, unresolved chunks and fidelity in ``path``/manifest."""
+    rows = chunks.select("id", "vector", "properties", "source_sha256")
+    rows.write.json(f"{path}/chunks")
+    package_manifest(rows.withColumn("package", F.lit("chunks")), "package").drop("package").coalesce(1).write.json(f"{path}/manifest")
 
 
 def read_chunk_package(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of a package; a line that is none has _corrupt_record."""
-    return spark.read.schema(f"{CHUNK}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(f"{CHUNK}, _corrupt_record string").option("mode", "PERMISSIVE").json(f"{path}/chunks")
+
+
+def corrupt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, line, record of the lines of a package that hold no chunk."""
+    lines = read_jsonl_records(spark, f"{path}/chunks")
+    read = F.from_json("record", f"{CHUNK}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.withColumn("_c", read).where(F.col("_c._corrupt_record").isNotNull() | F.col("_c.id").isNull()).select("source_file", "line", "record")
 
 
 def read_log(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -95,6 +144,14 @@ def _flat(s: pd.Series) -> pd.Series:
     class Number(str):
         """A number as it is written."""
 
+    room = [0]
+
+    def put(line: str, out: list[str]) -> None:
+        room[0] -= len(line) + 1
+        if room[0] < 0:
+            raise OverflowError(f"a JSON record flattens to more than {MOST_FLAT} characters")
+        out.append(line)
+
     def walk(x, path: str, out: list[str]) -> None:
         if isinstance(x, dict):
             for k, v in x.items():
@@ -104,9 +161,9 @@ def _flat(s: pd.Series) -> pd.Series:
                 for i, v in enumerate(x):
                     walk(v, f"{path}[{i}]", out)
             elif x:
-                out.append(f"{path}: {', '.join(str(scalar(v)) for v in x)}")
+                put(f"{path}: {', '.join(str(scalar(v)) for v in x)}", out)
         else:
-            out.append(f"{path}: {scalar(x)}" if path else str(scalar(x)))
+            put(f"{path}: {scalar(x)}" if path else str(scalar(x)), out)
 
     def flat(text: str | None) -> str | None:
         if text is None:
@@ -116,6 +173,7 @@ def _flat(s: pd.Series) -> pd.Series:
         except ValueError:
             return None
         out: list[str] = []
+        room[0] = MOST_FLAT
         walk(value, "", out)
         return "\n".join(out)
 
@@ -123,5 +181,9 @@ def _flat(s: pd.Series) -> pd.Series:
 
 
 def flatten_json(c: Column) -> Column:
-    """``path: value`` lines in file order, numbers as written; null where it is no JSON."""
+    """``path: value`` lines in file order, numbers as written; null where it is no JSON.
+
+    A record whose lines would hold more than MOST_FLAT characters stops the job: long keys over many
+    values can make a small file very large.
+    """
     return _flat(c)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.operators.chunking import chunk_overlap
-from quarry.operators.store import last_wins, replace_documents
+from quarry.operators.chunking import chunk_documents
+from quarry.operators.store import last_wins, read_chunks, write_chunks
 
 
 def stream_latency(metrics: DataFrame, minutes: int = 1, late: str = "10 minutes") -> DataFrame:
@@ -55,18 +56,25 @@ def stream_failed_logins(events: DataFrame, seconds: int = 60, late: str = "1 mi
     return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, first long, count int, last long", "first long, count int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ingest(arriving: DataFrame, table_path: str, checkpoint: str, size: int = 1000, overlap: int = 200):
-    """Each micro-batch is chunked and replaces its documents' families in a new version of the table.
+def stream_ingest(arriving: DataFrame, table_path: str, checkpoint: str, size: int = 1000, overlap: int = 200, strategy: str = "overlap"):
+    """Each micro-batch is chunked and becomes a version of the table in which its documents' families are replaced.
 
-    A version is written under its batch's number, so a batch that is repeated writes the same one.
+    ``arriving``: source_file, text, seq. All or nothing per document: one over its limits is left as
+    it was, and is noted (source_file, kind) in the version's failures. A version is committed under
+    the stream's checkpoint and its batch's number, so a batch that is repeated is not written twice, and
+    a stream with a new checkpoint continues an existing table. Nothing but new chunks is written.
     """
-    spark: SparkSession = arriving.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         latest = last_wins(batch.withColumnRenamed("source_file", "name"), "name", "seq").where("replaced_by is null").withColumnRenamed("name", "source_file")
-        fresh = chunk_overlap(latest, size, overlap)
-        if number:
-            fresh = replace_documents(spark.read.schema(fresh.schema).parquet(f"{table_path}/version={number - 1}"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{table_path}/version={number}")
+        fresh, failed = chunk_documents(latest, strategy, size, overlap)
+        names = latest.select("source_file").join(failed.select("source_file"), "source_file", "left_anti")
+        version = write_chunks(fresh.select("source_file", "chunk_index", "content"), table_path, names=names, batch=f"{checkpoint}#{number}")
+        failed.write.mode("overwrite").parquet(f"{table_path}/failures/version={version}")
 
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+
+
+def ingested(spark: SparkSession, table_path: str, version: int | None = None) -> DataFrame:
+    """source_file, chunk_index, content of a table that ``stream_ingest`` writes."""
+    return read_chunks(spark, table_path, StructType.fromDDL("source_file string, chunk_index int, content string"), version)
