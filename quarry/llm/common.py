@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that the session names for checkpoints, which all executors share.
 
-    Only where none is set (tests on one machine) a temporary folder is named.
+    Only where none is set and all runs on one machine (tests) a temporary folder is named; a
+    cluster without the setting is an error, since executors would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,5 +51,39 @@ def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def digest(text_col: str = "text") -> Column:
+    """16 bytes that tell whole texts apart; null for a null text."""
+    return F.unhex(F.md5(text_col))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def annotated(df: DataFrame, column: str, fields: str, make: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """``df`` with further columns (``fields``, as DDL) computed from ``column``; every row and column stays in place. Narrow.
+
+    ``make`` is called once a task and gives a function from values to one array for each field.
+    """
+    new = StructType.fromDDL(fields)
+    at, names = df.columns.index(column), [*df.columns, *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                yield pa.RecordBatch.from_arrays([*part.columns, *found(part.column(at).to_pylist())], names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, keyed_text, table
+from quarry.llm.common import cut, digest, drop, keyed_text, table, unused
 from quarry.llm.components import components, extended
 from quarry.llm.embedding_dedup import local_roots
 
@@ -35,8 +35,11 @@ HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 MISS = 1e-6
 #: Members of one bucket that are compared within one task.
 BLOCK = 512
-#: Ids of clustered texts up to this many are broadcast (16 MB); more are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
+#: Ids with digests up to this many are broadcast (about 50 MB once hashed); more are joined by a
+#: shuffle of the texts, with the same rows as result.
+MOST_BROADCAST = 500_000
+#: Shingles of one side of a block when links are verified (32 MB).
+MOST_SHINGLES = 1 << 22
 #: Shared shingles counted at once when a block is verified.
 COLUMNS = 8192
 
@@ -128,7 +131,7 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set), sig of every row; a row without words has no print."""
+    """doc_id, digest, n_shingles, print (of the set), sig of every row; a row without words has no print."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +139,12 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [shingler.set(t) for t in part.column(1).to_pylist()]
+                sets = [shingler.set(t) for t in part.column("text").to_pylist()]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "digest", "n_shingles", "print", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, print binary, sig binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, digest binary, n_shingles long, print binary, sig binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -158,7 +161,12 @@ def bands(reps: DataFrame) -> DataFrame:
             rep = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), rep], ["key", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, f"key long, rep {reps.schema['rep'].dataType.simpleString()}")
+    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (a table of ids and digests), marked to be broadcast if it is small; else joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def _sided(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
@@ -184,13 +192,11 @@ def survivors(pairs: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
                 alive = alive[found[alive] >= m]
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], ["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return _sided(pairs, reps, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return _sided(pairs, reps, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents with the given ids (doc_id)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def shingle_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the representatives ``chosen`` (rep, doc_id, digest), of whose equal rows one is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -199,13 +205,13 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingler.set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["rep", "shingles"])
 
-    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids  # else whole texts are shuffled
-    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, f"rep {kind}, shingles binary")
+    chosen = chosen.select("rep", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    texts = docs.join(few(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    return texts.groupBy("rep").agg(F.min("text").alias("text")).mapInArrow(run, "rep long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * |A & B| >= percent * |A | B|, on the full sets of both texts."""
-    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +226,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = pa.array(np.flatnonzero(keep))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(at), part.column("b").take(at)], ["a", "b"])
 
-    return _sided(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return _sided(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a long, b long")
 
 
 def local_edges(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -232,7 +238,6 @@ def local_edges(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 def further(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
     """Edges that join what survives the batches within buckets, block against block."""
-    kind = members.schema["rep"].dataType.simpleString()
     blocks = members.withColumn("_n", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     dealt = blocks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     dealt = dealt.select("key", F.least("_i", "_j").alias("_p"), F.greatest("_i", "_j").alias("_q"), "rep", "label")
@@ -257,7 +262,7 @@ def further(members: DataFrame, reps: DataFrame, least: list[int]) -> DataFrame:
             right.append(y)
         return local_edges(rep, np.concatenate(left), np.concatenate(right))
 
-    return dealt.groupBy("key", "_p", "_q").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return dealt.groupBy("key", "_p", "_q").applyInPandas(run, "a long, b long").distinct()
 
 
 def exact_links(sets: list[np.ndarray], percent: int, different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,15 +290,15 @@ def exact_links(sets: list[np.ndarray], percent: int, different: np.ndarray) ->
 def within_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges that join exactly linked texts of different labels, in clusters that hold several labels.
 
-    ``members``: rep, cluster, label. A large label fills blocks of its own, small labels share
-    blocks; two blocks of the same label are not compared.
+    ``members``: rep, cluster, label, n_shingles. Blocks are bounded by texts and by shingles, of
+    which one very long text makes a block of its own. A large label fills blocks of its own, small
+    labels share blocks; two blocks of the same label are not compared.
     """
-    kind = members.schema["rep"].dataType.simpleString()
-    sizes = members.groupBy("cluster", "label").count()
-    small = sizes.where(F.col("count") < BLOCK / 2).groupBy("cluster").agg(F.ceil(F.sum("count") / (BLOCK / 2)).alias("parts"))
+    sizes = members.groupBy("cluster", "label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / MOST_SHINGLES).alias("load"))
+    small = sizes.where("load < 0.5").groupBy("cluster").agg(F.ceil(2 * F.sum("load")).alias("parts"))
     shape = cut(sizes.join(small, "cluster", "left"))
-    alone = F.col("count") >= BLOCK / 2
-    spread = F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / BLOCK))
+    alone = F.col("load") >= 0.5
+    spread = F.pmod(F.xxhash64("rep"), F.ceil("load"))
     block = F.when(alone, F.xxhash64("label", spread)).otherwise(F.pmod(F.xxhash64("label"), F.col("parts")))
     dealt = cut(members.join(shape, ["cluster", "label"]).select("rep", "cluster", "label", block.alias("block"), F.when(alone, F.col("label")).alias("only")))
     every = cut(dealt.select("cluster", "block", "only").distinct())
@@ -308,7 +313,7 @@ def within_clusters(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         x, y = exact_links([np.frombuffer(v, np.uint64) for v in g["shingles"]], percent, label[:, None] != label[None, :])
         return local_edges(rep, x, y)
 
-    return rows.groupBy("cluster", "p", "q").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("cluster", "p", "q").applyInPandas(run, "a long, b long").distinct()
 
 
 def labelled(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
@@ -316,18 +321,22 @@ def labelled(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
     return rows.join(of.select(F.col("node").alias("rep"), F.col("component").alias(name)), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; ids are integers.
+def near_rows(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id, kept, grouped, stays of every row.
 
-    Links: 100 * |A & B| >= percent * |A | B| of the sets of ``words``-word shingles. A null or
-    blank text has an empty set and links with nothing. Rows that repeat an id count as one
-    document; a row without id is its own component (null). Other columns are ignored; an empty
-    table gives an empty table.
+    Links: 100 * |A & B| >= percent * |A | B| of the sets of ``words``-word shingles. Rows are told
+    apart by their texts, never by ids: a null id and repeated ids are fine. component_id is the
+    smallest id of the row's group, null if no row of it has one; kept tells whether it is the row's
+    own. A null or blank text has an empty set and is no part of a group (``grouped``). ``stays`` is
+    true for the row of the smallest id of each group (of several, that of the smallest digest, and
+    for all rows equal in both), and for rows without group.
     """
-    docs = keyed_text(df, id_col, text_col)
+    docs = keyed_text(df, id_col, text_col).withColumn("digest", digest())
     least = least_matches(percent / 100)
     rows = cut(sketched(docs, words))
-    reps = cut(rows.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("print", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n_shingles", "sig")).alias("x")
+    reps = rows.where("print is not null").groupBy("print").agg(first).select("print", "x.doc_id", "x.digest", "x.n_shingles", "x.sig")
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # written at once, so the numbers stay
     one = reps.select("rep", "sig")
     banded = bands(one)
     hubs = cut(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1"))
@@ -339,21 +348,61 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     more = cut(further(named.join(cut(mixed), "key", "left_semi"), one, least))
     if not more.isEmpty():
         clusters = cut(extended(clusters, more))
-    sets = cut(shingle_sets(docs, cut(clusters.select(F.col("node").alias("doc_id")).distinct()), words))
-    # One exact comparison for every text first: with the smallest partner it has, or its cluster's smallest id.
+    about = cut(clusters.withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id", "digest", "n_shingles"), "rep"))
+    sets = cut(shingle_sets(docs, about, words))
+    # One exact comparison for every text first: with the smallest partner it has, or its cluster's smallest number.
     partner = stars.groupBy("b").agg(F.min("a").alias("a"))
     lone = clusters.where("node <> component").select(F.col("node").alias("b"), F.col("component").alias("_c")).join(partner, "b", "left")
     links = cut(verified(lone.select(F.coalesce("a", "_c").alias("a"), "b"), sets, percent))
     labels = cut(components(links))
-    inner = labelled(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), labels, "label")
+    inner = labelled(about.select("rep", F.col("component").alias("cluster"), "n_shingles"), labels, "label")
     several = inner.groupBy("cluster").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("cluster")
     rest = cut(within_clusters(cut(inner.join(cut(several), "cluster", "left_semi")), sets, percent))
     if not rest.isEmpty():
         labels = cut(extended(labels, rest))
-    classes = reps.select("print", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "print").join(cut(classes), "print", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    whose = reps.select("rep", "print", "doc_id", "digest").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    several = whose.where("component <> rep").select("component").distinct()
+    heads = whose.join(several, "component", "left_semi").groupBy("component").agg(F.min(best).alias("head"))
+    classes = cut(whose.join(few(cut(heads)), "component", "left").select("print", F.coalesce("head", best).alias("head")))
+    for done in (hubs, members, stars, more, about, sets, links, rest, reps):
+        drop(done)
+    out = rows.select("doc_id", "digest", "n_shingles", "print").join(classes, "print", "left")
+    grouped = F.col("head").isNotNull()
+    component = F.when(grouped, F.col("head.doc_id")).otherwise(F.col("doc_id"))
+    own = F.col("doc_id").eqNullSafe(component)
+    stays = ~grouped | (own & (F.col("digest") == F.col("head.digest")))
+    return out.select("doc_id", "digest", "n_shingles", component.alias("component_id"), own.alias("kept"), grouped.alias("grouped"), stays.alias("stays"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; the columns are those of ``near_rows``.
+
+    A null or blank text links with nothing; a row without id takes part in groups and has their
+    smallest id, or null; rows that repeat an id stay, each with the group of its own text. Other
+    columns are ignored; an empty table gives an empty table.
+    """
+    return near_rows(df, words, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of near-duplicates.
+
+    The row of the group's smallest id stays, of rows with equal id and text any one. Null and blank
+    texts stay, each row of them.
+    """
+    decided = cut(near_rows(docs, words, percent, id_col, text_col).where("grouped").groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+    own, other_id, other = unused(docs, "own_digest", "other_id", "other_digest")
+    marked = docs.withColumn(own, digest(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other))
+    keys = [F.col("doc_id").alias(other_id), F.col("digest").alias(other)]
+    apart = decided.where("not stays or n > 1").select(*keys)
+    kept = marked.join(few(apart), same, "left_anti").drop(own)
+    repeated = decided.where("stays and n > 1").select(*keys)
+    if repeated.isEmpty():
+        return kept
+    once = marked.join(few(repeated), same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+    return kept.unionByName(once)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
