@@ -9,6 +9,7 @@ as the likelihood, less a penalty per language (half a log of the number of word
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +17,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keyed_text, table
+from quarry.llm.common import annotated, keyed_text, table
 
 BITS = 15
 #: Labelled rows learned from, per language, as an expected number (rows are drawn by a hash).
 ROWS = 4000
-CACHE_WORDS = 300_000
+#: Languages learned at most: those with the most rows.
+LANGUAGES = 128
+#: Likelihoods kept per task (words times languages); beyond it the cache starts anew.
+CACHE_WORDS = 800_000
 #: No word counts for more than this many nats in favour of one language.
 MOST = 12.0
 STEPS = 8
 UNKNOWN = "und"
+#: Log-likelihood of a trigram by chance: below it, on average, no learned language explains a text.
+CHANCE = -BITS * math.log(2)
 
 
 def trigrams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +56,12 @@ def trigrams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def learn(rows: DataFrame, text_col: str, lang_col: str, limit: int = ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [trigram, language]) from rows with text and language.
 
-    About ``limit`` rows per language are drawn by a hash of their id; one table of trigram counts
-    per language (2**15 numbers) comes to the driver.
+    About ``limit`` rows of each of the LANGUAGES most frequent languages are drawn by a hash of their
+    id; one table of trigram counts per language (2**15 numbers) comes to the driver. Rows whose text
+    or language is null count for nothing; without rows no language is learned.
     """
     known = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("share"))
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("share"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).drop("_n")
     drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("i", F.lit("learn")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +125,18 @@ class Identifier:
         self.langs, self.model = langs, model
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, rows: int = 0) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.langs)))
+        self.used = 0
+        # The last column is a word's number of trigrams. One block for the whole cache: nothing is copied as it fills.
+        self.table = np.zeros((max(rows, CACHE_WORDS // max(1, len(self.langs))), len(self.langs) + 1))
 
-    def words(self, pieces: list[str]) -> np.ndarray:
+    def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods [word, language] of the words that hold a letter, and their numbers of trigrams."""
         fresh = list(set(pieces).difference(self.row))
-        if len(self.row) + len(fresh) > CACHE_WORDS:
-            self.reset()
+        if len(self.row) + len(fresh) > len(self.table):
             fresh = list(set(pieces))
+            self.reset(len(fresh))
         if fresh:
             codes, owner = trigrams(fresh)
             x = np.zeros((len(fresh), len(self.langs)))
@@ -136,19 +146,24 @@ class Identifier:
                 x = np.maximum(x, x.max(axis=1, keepdims=True) - MOST)
             letters = np.zeros(len(fresh), dtype=bool)
             letters[owner] = True
-            at = iter(range(len(self.table), len(self.table) + int(letters.sum())))
+            end = self.used + int(letters.sum())
+            at = iter(range(self.used, end))
             self.row.update((w, next(at) if ok else -1) for w, ok in zip(fresh, letters.tolist(), strict=True))
-            self.table = np.concatenate([self.table, x[letters]])
+            self.table[self.used : end, :-1] = x[letters]
+            self.table[self.used : end, -1] = np.bincount(owner, minlength=len(fresh))[letters]
+            self.used = end
         at = np.fromiter(map(self.row.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        return self.table[at[at >= 0]]
+        found = self.table[at[at >= 0]]
+        return found[:, :-1], found[:, -1]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        x = self.words(text.lower().split()) if text and self.langs else np.empty((0, 0))
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its proportion, and the mean log-likelihood of a trigram by each word's best language."""
+        x, n = self.words(text.lower().split()) if text and self.langs else (np.empty((0, 0)), None)
         if not len(x):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, -math.inf
         share = proportions(x)
         at = int(share.argmax())
-        return self.langs[at], float(min(1.0, share[at]))
+        return self.langs[at], float(min(1.0, share[at])), float(x.max(axis=1).sum() / n.sum())
 
 
 def identify(df: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,19 +172,26 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if no
     language was learned; repeated rows stay; other columns are ignored.
     """
-    docs = keyed_text(df, id_col, text_col)
+    return identified(keyed_text(df, id_col, text_col), langs, model).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_share").alias("score"))
+
+
+def identified(df: DataFrame, langs: list[str], model: np.ndarray, text_col: str = "text", names: tuple[str, str, str] = ("_lang_pred", "_lang_share", "_lang_fit")) -> DataFrame:
+    """``df`` with the language, its share and the mean log-likelihood of a trigram of every row. Narrow.
+
+    ``names`` are the new columns' names, which ``df`` must not have.
+    """
     shared = df.sparkSession.sparkContext.broadcast((langs, model))  # 2**15 numbers a language
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         identifier = Identifier(*shared.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                found = [identifier.predict(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+        def found(texts: list[str | None]) -> list[pa.Array]:
+            each = [identifier.predict(t) for t in texts]
+            return [pa.array([e[0] for e in each], pa.string()), pa.array([e[1] for e in each], pa.float64()), pa.array([e[2] for e in each], pa.float64())]
+
+        return found
+
+    return annotated(df, text_col, "`{}` string, `{}` double, `{}` double".format(*names), make)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, keyed_text, table
+from quarry.llm.common import annotated, cut, keyed_text, table
 from quarry.llm.langid import held_out
 
 #: Labelled rows learned from, per label and part, at most (rows are drawn by a hash of their ids).
@@ -34,7 +34,7 @@ NEAREST, BLOCK = 25, 128
 #: Weight of the base rate among the votes.
 BASE = 0.3
 THRESHOLD = 0.7
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -264,6 +264,18 @@ def fit(rows: DataFrame, selecting: int = SELECTING, examples: int = EXAMPLES) -
     return learn(rows, rows.where("text is not null").select("doc_id", "label"), selecting, examples)
 
 
+def scored_in_place(df: DataFrame, chosen: list[str], index: Index, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """``df`` with the score of each row as a further column ``name``, which ``df`` must not have. Narrow; null and empty texts as in ``score``."""
+    shared = df.sparkSession.sparkContext.broadcast((chosen, index))  # bounded by MOST_FEATURES and EXAMPLES
+
+    def make():
+        chosen, index = shared.value
+        vectoriser = Vectoriser(chosen)
+        return lambda texts: [pa.array([min(1.0, max(0.0, index.score(vectoriser.counts(t))[0])) for t in texts], pa.float64())]
+
+    return annotated(df, text_col, f"`{name}` double", make)
+
+
 def score(df: DataFrame, chosen: list[str], index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, evidence (nearest examples: doc_id, label, cosine) of every row. Narrow.
 
