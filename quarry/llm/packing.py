@@ -28,9 +28,11 @@ from quarry.llm.common import cut, keyed_text, table
 
 LENGTH = 2048
 #: Pieces of text whose ids a task remembers; beyond it the cache starts anew.
-CACHE_PIECES = 700_000
-#: Groups that the pieces of one length are spread over.
-SALTS = 64
+CACHE_PIECES = 250_000
+#: Groups that the pieces of one length, and the full ones that long documents give, are spread over.
+SALTS, FULL_SALTS = 64, 4096
+#: Intervals of a plan up to this many are broadcast (about 60 MB); more are joined by a shuffle.
+MOST_INTERVALS = 1_000_000
 UNSAFE = re.compile(r"\s \s")
 
 
@@ -236,8 +238,8 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     rows get different places.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").count().collect()  # at most length * SALTS rows
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.when(F.col("length") == length, FULL_SALTS).otherwise(SALTS)).cast("int"))
+    sizes = salted.groupBy("length", "_salt").count().collect()  # at most length * SALTS + FULL_SALTS rows
     counts = np.zeros(length + 1, dtype=np.int64)
     before = []
     for n, s, c in sorted(tuple(r) for r in sizes):
@@ -249,7 +251,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = salted.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long") - 1)
     ranked = ranked.join(F.broadcast(starts), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     p = places.withColumnRenamed("length", "_length")
-    placed = ranked.join(F.broadcast(p), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    placed = ranked.join(F.broadcast(p) if len(rows) <= MOST_INTERVALS else p, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select(*pieces.columns, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
