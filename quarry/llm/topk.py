@@ -6,7 +6,8 @@ among a query's k best only if its upper bound reaches the k-th best lower bound
 are then read in the order of their upper bounds, until the k-th exact score is no smaller than the
 next bound.
 
-Vectors and queries meet in blocks: every block of queries is sent to every block of vectors once.
+Vectors and queries meet in blocks: every block of queries is sent to every block of vectors once,
+with the bounds that a first block of vectors gave.
 """
 
 from __future__ import annotations
@@ -29,18 +30,20 @@ CELLS = 64
 VECTORS, QUERIES = 8192, 1024
 #: Exact vectors read per query before the rest is looked at.
 FIRST = 24
-#: Integers are held to this size, so that products of 1024 dimensions fit 64 bits.
-LIMIT = 1 << 26
+#: The greatest double below 2**63: what an integer is held to.
+LIMIT = float((1 << 63) - 1024)
+#: Products of doubles count as inexact by this share of the sum of their sizes.
+SLACK = 2.0**-48
 
 
 def integers(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (packed int32): floor(scale * x), held to +-2**26; vectors that take no part are left out."""
+    """vec_id, v (packed int64): floor(scale * x), held to 64 bits; vectors that take no part are left out."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null")
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if x is None or not np.isfinite(x).all() else np.clip(np.floor(scale * x), -LIMIT, LIMIT).astype("<i4").tobytes() for x in lists(batch.column(1))]
+            found = [None if x is None or not np.isfinite(x).all() else np.clip(np.floor(scale * x), -LIMIT, LIMIT).astype("<i8").tobytes() for x in lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["vec_id", "v"])
 
     return rows.mapInArrow(run, f"vec_id {kind}, v binary").where("v is not null")
@@ -50,7 +53,16 @@ def matrix(column: list[bytes] | pd.Series, width: int) -> np.ndarray:
     """Rows of packed integers; shorter vectors count as padded with zeros."""
     out = np.zeros((len(column), width), dtype=np.int64)
     for i, x in enumerate(column):
-        out[i, : len(x) // 4] = np.frombuffer(x, "<i4")
+        out[i, : len(x) // 8] = np.frombuffer(x, "<i8")
+    return out
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two integer matrices, held to 64 bits."""
+    size = np.abs(a.astype(np.float64)) * np.abs(b.astype(np.float64))
+    out = (a * b).sum(axis=1)
+    for i in np.flatnonzero(size.sum(axis=1) >= 2.0**62):  # in 64 bits these could run over
+        out[i] = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))))
     return out
 
 
@@ -60,7 +72,7 @@ def cell_edges(vectors: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = batch.column(0).to_pylist()
-            if not packed or not (width := max(map(len, packed)) // 4):
+            if not packed or not (width := max(map(len, packed)) // 8):
                 continue
             x = matrix(packed, width).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, float(len(x)))), pa.array(x.sum(0)), pa.array((x * x).sum(0)), pa.array(x.min(0)), pa.array(x.max(0))], ["d", "n", "s", "q", "lo", "hi"])
@@ -89,11 +101,15 @@ def approximations(vectors: DataFrame, edges: np.ndarray) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, f"vec_id {kind}, cells binary")
 
 
-def candidates(queries: DataFrame, cells: DataFrame, edges: np.ndarray, k: int, n_vectors: int, n_queries: int) -> DataFrame:
-    """(query_id, vec_id, low, high): what each block of vectors cannot rule out."""
-    c, b = max(1, math.ceil(n_vectors / VECTORS)), max(1, math.ceil(n_queries / QUERIES))
-    left = queries.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(b))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long"))))
-    right = cells.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(c))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long"))))
+def candidates(queries: DataFrame, cells: DataFrame, edges: np.ndarray, k: int, blocks: int, of: tuple[int, int]) -> DataFrame:
+    """(query_id, vec_id, low, high): what each block of vectors cannot rule out.
+
+    ``queries``: vec_id, v, b (block), bound (the k-th best lower bound known so far, or null);
+    ``cells``: vec_id, cells, c (block, from the first to the last in ``of``). Each block of vectors
+    meets all ``blocks`` blocks of queries.
+    """
+    left = queries.withColumn("c", F.explode(F.sequence(F.lit(of[0]).cast("long"), F.lit(of[1]).cast("long"))))
+    right = cells.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     low_edge, high_edge = edges[:, :-1].copy(), edges[:, 1:].copy()
     kind = queries.schema["vec_id"].dataType.simpleString()
 
@@ -104,14 +120,19 @@ def candidates(queries: DataFrame, cells: DataFrame, edges: np.ndarray, k: int,
             cell = np.frombuffer(b"".join(x["cells"]), np.uint8).reshape(len(x), width)
             d = np.arange(width)
             lo, hi = low_edge[d, cell].T, high_edge[d, cell].T
+            far = np.maximum(np.abs(lo), np.abs(hi))
             ids, own = x["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            known = q["bound"].to_numpy(dtype=np.float64, na_value=-np.inf)
+            known = np.where(np.isnan(known), -np.inf, known)
             values = matrix(q["v"], width).astype(np.float64)
             for s in range(0, len(q), 128):
                 plus, minus = np.maximum(values[s : s + 128], 0), np.minimum(values[s : s + 128], 0)
-                high, low = plus @ hi + minus @ lo, plus @ lo + minus @ hi
+                slack = SLACK * ((plus - minus) @ far)
+                high, low = plus @ hi + minus @ lo + slack, plus @ lo + minus @ hi - slack
                 self_at = own[s : s + 128, None] == ids[None, :]
                 low[self_at] = high[self_at] = -np.inf
                 kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
+                kth = np.maximum(kth, known[s : s + 128])
                 r, col = np.nonzero((high >= kth[:, None]) & (high > -np.inf))
                 for o, y in zip(out, (own[s : s + 128][r], ids[col], low[r, col], high[r, col]), strict=True):
                     o.append(y)
@@ -127,8 +148,8 @@ def scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("q").to_pylist(), batch.column("v").to_pylist()
-            width = max(map(len, [*a, *b]), default=0) // 4
-            s = (matrix(a, width) * matrix(b, width)).sum(axis=1)
+            width = max(map(len, [*a, *b]), default=0) // 8
+            s = products(matrix(a, width), matrix(b, width))
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
     both = pairs.join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
@@ -139,26 +160,36 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
     """query_id, rank (from 1), vec_id, score: the k best of every row whose id is divisible by ``every``.
 
     Ties go to the smaller vec_id. Null vectors, and those with null or non-finite components, take
-    no part, nor do rows without id; rows that share the query's id are its own, and of rows that
-    repeat an id one counts. Other columns are ignored; an empty table gives an empty table.
+    no part, nor do rows without id; of rows that repeat an id one counts, whatever its place, and a
+    row is never its own answer. Integers and scores are exact within 64 bits and held to them.
+    Other columns are ignored; an empty table gives an empty table.
     """
-    all_rows = cut(integers(df, scale, id_col, vector_col).dropDuplicates(["vec_id"]))
+    all_rows = cut(integers(df, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))
     # Of equal vectors only the k + 1 smallest ids can be among anyone's k best.
     useful = all_rows.withColumn("_n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
     vectors = cut(useful)
-    queries = cut(all_rows.where(F.pmod("vec_id", F.lit(every)) == 0))
     edges = cell_edges(vectors)
-    found = cut(candidates(queries, approximations(vectors, edges), edges, k, vectors.count(), queries.count()))
+    queries = all_rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    parts, blocks = max(1, math.ceil(vectors.count() / VECTORS)), max(1, math.ceil(queries.count() / QUERIES))
+    queries = cut(queries.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))))
+    cells = cut(approximations(vectors, edges).withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(parts))))
     best = W.partitionBy("query_id")
-    ranked = found.withColumn("_n", F.row_number().over(best.orderBy(F.desc("low"), "vec_id")))
-    bound = ranked.where(F.col("_n") == k).select("query_id", F.col("low").alias("bound"))
-    alive = found.join(bound, "query_id", "left").where("bound is null or high >= bound")
-    ordered = cut(alive.select("query_id", "vec_id", "high").withColumn("at", F.row_number().over(best.orderBy(F.desc("high"), "vec_id"))))
-    exact = all_rows
-    first = cut(scores(ordered.where(F.col("at") <= FIRST), exact))
+
+    def kth_low(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("_n", F.row_number().over(best.orderBy(F.desc("low"), "vec_id")))
+        return ranked.where(F.col("_n") <= k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("low").alias("bound")).where(F.col("_n") == k).select("query_id", "bound")
+
+    # What a first block of vectors shows bounds what the others send.
+    found = cut(candidates(queries.withColumn("bound", F.lit(None).cast("double")), cells.where("c = 0"), edges, k, blocks, (0, 0)))
+    if parts > 1:
+        told = queries.join(kth_low(found).withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        found = found.unionByName(cut(candidates(told, cells.where("c > 0"), edges, k, blocks, (1, parts - 1))))
+    alive = cut(found.join(kth_low(found), "query_id", "left").where("bound is null or high >= bound").select("query_id", "vec_id", "high"))
+    lead = alive.withColumn("_n", F.row_number().over(best.orderBy(F.desc("high"), "vec_id"))).where(F.col("_n") <= FIRST)
+    first = cut(scores(lead, all_rows))
     kth = first.withColumn("_n", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") == k).select("query_id", F.col("score").alias("kth"))
-    rest = ordered.where(F.col("at") > FIRST).join(kth, "query_id", "left").where("kth is null or high >= kth")
-    every_score = first.unionByName(scores(rest, exact))
+    rest = alive.join(kth, "query_id", "left").where("kth is null or high >= kth").join(first.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    every_score = first.unionByName(scores(rest, all_rows))
     out = every_score.withColumn("rank", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
