@@ -43,54 +43,76 @@ def lists(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def packed(v: np.ndarray) -> bytes:
+    """A vector as 32-bit floats if these hold it exactly, else as 64-bit floats; the first byte tells which."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return b"4" + short.tobytes() if (short == v).all() else b"8" + v.astype("<f8").tobytes()
+
+
+def units(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1 in double precision, padded with zeros; their widths) from packed ones."""
+    widths = np.array([(len(u) - 1) // int(u[:1]) for u in column], dtype=np.int64)
+    x = np.zeros((len(column), widths.max(initial=0)))
+    kinds = np.array([(len(u), u[0]) for u in column]).reshape(-1, 2)
+    for size, kind in np.unique(kinds, axis=0).tolist():
+        own = np.flatnonzero((kinds == (size, kind)).all(axis=1))
+        flat = np.frombuffer(b"".join([column[i][1:] for i in own]), "<f4" if kind == ord("4") else "<f8")
+        x[own, : widths[own[0]]] = flat.reshape(len(own), -1)
+    x /= np.abs(x).max(axis=1, initial=0.0, keepdims=True)  # no overflow or underflow of the squares
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], widths
+
+
 def prepared(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, print, unit (packed float64 vector of length 1); print is null for vectors that link with nothing."""
+    """vec_id, label, print (of label and vector), unit (packed vector); print is null for vectors that link with nothing."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, units = [], []
+            prints, vectors = [], []
             for label, v in zip(batch.column(1).to_pylist(), lists(batch.column(2)), strict=True):
                 top = np.abs(v).max(initial=0.0) if v is not None else 0.0
                 if label is None or not 0 < top < np.inf:
                     prints.append(None)
-                    units.append(None)
+                    vectors.append(None)
                 else:
-                    prints.append(hashlib.blake2b(v.tobytes(), digest_size=16, key=label.encode()[:64]).digest())
-                    v = v / top  # no overflow or underflow of the squares
-                    units.append((v / np.sqrt(v @ v)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "label", "print", "unit"])
+                    prints.append(hashlib.blake2b(v.tobytes(), digest_size=16, key=hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=32).digest()).digest())
+                    vectors.append(packed(v))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "label", "print", "unit"])
 
     return rows.mapInArrow(run, f"vec_id {kind}, label string, print binary, unit binary")
 
 
-def hashed(reps: DataFrame, bits: int, tables: int, seed: int = 3) -> DataFrame:
-    """(key, at, rep, m, unit, signs): one row per table; key is the bucket, signs all tables' patterns."""
+def hashed(reps: DataFrame, bits: int, tables: int, vectors: bool = True, seed: int = 3) -> DataFrame:
+    """(key, at, rep, m, unit, signs): one row per table; key is the bucket, signs the bits of all tables.
+
+    Without ``vectors`` only the keys.
+    """
     kind = reps.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            signs = np.empty((len(units), tables), dtype="<i4")
-            sizes = np.array([len(u) // 8 for u in units])
+            x, sizes = units(batch.column("unit").to_pylist())
+            positive = np.empty((len(x), tables * bits), dtype=bool)
             for d in np.unique(sizes):
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, tables * bits))
                 own = np.flatnonzero(sizes == d)
-                x = np.frombuffer(b"".join([units[i] for i in own])).reshape(-1, d)
-                signs[own] = ((x @ planes[d]) > 0).reshape(len(own), tables, bits) @ (1 << np.arange(bits))
-            n = batch.num_rows
-            take = pa.array(np.repeat(np.arange(n), tables))
-            packed = pa.array([row.tobytes() for row in signs], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(signs.ravel().astype(np.int32)), pa.array(np.repeat(sizes, tables).astype(np.int32)), *[batch.column(c).take(take) for c in ("label", "rep", "m", "unit")], packed.take(take)],
-                ["at", "sign", "dim", "label", "rep", "m", "unit", "signs"],
-            )
+                positive[own] = (x[own, :d] @ planes[d]) > 0
+            sign = positive.reshape(len(x), tables, bits) @ (1 << np.arange(bits))
+            take = pa.array(np.repeat(np.arange(len(x)), tables))
+            own = [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(sign.ravel().astype(np.int32)), pa.array(np.repeat(sizes, tables).astype(np.int32)), batch.column("label").take(take)]
+            names = ["at", "sign", "dim", "label"]
+            if vectors:
+                all_signs = pa.array([row.tobytes() for row in np.packbits(positive, axis=1)], pa.binary())
+                own += [*[batch.column(c).take(take) for c in ("rep", "m", "unit")], all_signs.take(take)]
+                names += ["rep", "m", "unit", "signs"]
+            yield pa.RecordBatch.from_arrays(own, names)
 
-    rows = reps.select("label", "rep", "m", "unit").mapInArrow(run, f"at int, sign int, dim int, label string, rep {kind}, m long, unit binary, signs binary")
-    return rows.select(F.xxhash64("label", "dim", "at", "sign").alias("key"), "at", "rep", "m", "unit", "signs")
+    rows = reps.select("label", "rep", "m", "unit").mapInArrow(run, "at int, sign int, dim int, label string" + (f", rep {kind}, m long, unit binary, signs binary" if vectors else ""))
+    return rows.select(F.xxhash64("label", "dim", "at", "sign").alias("key"), *(["at", "rep", "m", "unit", "signs"] if vectors else []))
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,7 +131,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def links_in_buckets(dealt: DataFrame, threshold: float) -> DataFrame:
+def links_in_buckets(dealt: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
     """(rep, add, low) per vector and block: linked vectors that first meet here, smallest of its local component.
 
     ``dealt`` (key, p, q, i, at, rep, m, unit, signs) is sorted within its partitions.
@@ -121,15 +143,10 @@ def links_in_buckets(dealt: DataFrame, threshold: float) -> DataFrame:
         rep, m, at = (t.column(c).to_numpy() for c in ("rep", "m", "at"))
         order = np.lexsort((rep, i, q, p, key))
         key, p, q, i, rep, m, at = (x[order] for x in (key, p, q, i, rep, m, at))
-        units, packed = t.column("unit").to_pylist(), t.column("signs").to_pylist()
-        units, packed = [units[k] for k in order], [packed[k] for k in order]
-        dims = np.array([len(u) for u in units])
-        width = dims.max() // 8
-        x = np.zeros((len(units), width))
-        for d in np.unique(dims):
-            own = np.flatnonzero(dims == d)
-            x[own, : d // 8] = np.frombuffer(b"".join([units[k] for k in own])).reshape(len(own), -1)
-        signs = np.frombuffer(b"".join(packed), dtype="<i4").reshape(len(packed), -1)
+        vectors, coded = t.column("unit").to_pylist(), t.column("signs").to_pylist()
+        x = units([vectors[k] for k in order])[0]
+        positive = np.unpackbits(np.frombuffer(b"".join([coded[k] for k in order]), np.uint8).reshape(len(order), -1), axis=1, count=tables * bits)
+        signs = positive.reshape(len(order), tables, bits) @ (1 << np.arange(bits))
         group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
         a, b = [], []
         for shift in range(1, int(np.bincount(group).max())):
@@ -184,18 +201,18 @@ def near_embeddings(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     Only vectors of equal, non-null labels and equal width are compared. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing and stay. Rows with equal
-    vectors are linked copies of each other, repeated rows too. Other columns are ignored; an empty
-    table gives an empty table.
+    vectors are linked copies of each other, repeated rows too. A pair at the threshold is missed
+    with probability ``miss``. Other columns are ignored; an empty table gives an empty table.
     """
     rows = cut(prepared(df, id_col, vector_col, label_col))
     reps = cut(rows.where("print is not null and vec_id is not null").groupBy("label", "print").agg(F.count("*").alias("m"), F.min(F.struct("vec_id", "unit")).alias("x")).select("label", "print", "m", F.col("x.vec_id").alias("rep"), F.col("x.unit").alias("unit")))
-    n, labels = reps.agg(F.count("*"), F.greatest(F.count_distinct("label"), F.lit(1))).first()
-    bits, tables = tables_for(n // labels, threshold, miss)
-    members = hashed(reps, bits, tables)
-    sizes = cut(members.groupBy("key").count().where("count > 1"))
-    members = members.join(sizes, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    n = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # the largest label fills the largest buckets
+    bits, tables = tables_for(n, threshold, miss)
+    # Keys alone are grouped first: only vectors that meet another one are sent, once a table.
+    sizes = cut(hashed(reps, bits, tables, vectors=False).groupBy("key").count().where("count > 1"))
+    members = hashed(reps, bits, tables).join(sizes, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = members.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "at", "rep", "m", "unit", "signs")
-    found = cut(links_in_buckets(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), threshold))
+    found = cut(links_in_buckets(dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), threshold, bits, tables))
     links = found.groupBy("rep").agg(F.sum("add").alias("add"))
     labelled = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     classes = reps.select("print", "rep", "m").join(links, "rep", "left").join(labelled.withColumnRenamed("node", "rep"), "rep", "left")
