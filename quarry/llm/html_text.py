@@ -7,8 +7,9 @@ block as main text or not.
 
 It is trained on the driver from a bounded sample of the pages themselves. Their labels come from
 pages' own structure: semantic elements and telling class names (``told``). So that the network
-doesn't rest on a single tag, path tokens are left out at random, and blocks of menus, sidebars,
-notices, adverts, forms and comments are put between a page's own blocks.
+doesn't rest on a single tag or on names in English, path tokens are left out at random, blocks of
+menus, sidebars, notices, adverts, forms and comments are put between a page's own blocks, and each
+page is also read without its telling tags and with names that say nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 
-#: Pages trained on, as an expected number (drawn by a hash), and the blocks of each that count there.
-PAGES, PAGE_BLOCKS = 400, 200
+#: Different pages trained on at most (drawn by a hash), and the blocks of each that count there.
+PAGES, PAGE_BLOCKS = 280, 200
 PATHS, WORDS, COUNTS, HIDDEN = 96, 48, 6, 24
 WIDTH = PATHS + WORDS + COUNTS
 EPOCHS = 12
@@ -38,35 +39,69 @@ EPOCHS = 12
 GROUP = 20_000
 
 # Names of HTML elements, and words that tell what an element is for.
-BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TEXT = set("script style textarea title iframe noembed noframes noscript xmp template svg math object audio video canvas datalist".split())
+UNSEEN = {"template", "datalist"}
+BLOCKS = set("address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
+RAW = set("script style textarea title iframe noembed noframes noscript".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = set("nav header footer aside form head menu dialog button select search".split())
 OUTSIDE_WORDS = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 INSIDE = {"article", "main"}
 INSIDE_WORDS = set("article content entry main post story".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+VEILED = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[^\W_]+")
-ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in HIDDEN_TEXT}
-#: Outermost and innermost elements of a path that count.
-OUTER, INNER = 8, 16
+ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+
+
+class Element(NamedTuple):
+    """An open element with what it and all elements around it are: nothing of a path is left out."""
+
+    around: Element | None
+    name: tuple[str, ...]  # its tag, then words of its class, id and role
+    bits: int  # hashed path tokens
+    outside: bool
+    inside: bool
+    unseen: bool
+
+
+def element(around: Element | None, tag: str, *words: str, unseen: bool = False) -> Element:
+    bits = around.bits if around else 0
+    for token in (f"<{tag}", *words, *(f"{tag}.{w}" for w in words)):
+        bits |= 1 << bucket(token) % PATHS
+    outside = tag in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(words) or bool(around and around.outside)
+    inside = tag in INSIDE or not INSIDE_WORDS.isdisjoint(words) or bool(around and around.inside)
+    return Element(around, (tag, *words), bits, outside, inside, unseen or bool(around and around.unseen))
+
+
+def path(inner: Element | None) -> list[tuple[str, ...]]:
+    """Names of the elements around a block, outermost first."""
+    names = []
+    while inner:
+        names.append(inner.name)
+        inner = inner.around
+    return names[::-1]
 
 
 class Block(NamedTuple):
-    path: tuple[tuple[str, ...], ...]  # for each element: its tag, then words of its class, id and role
+    inner: Element | None
     text: str
     linked: int  # characters within links
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments and other hidden text are left out."""
+    """Leaf blocks in page order; scripts, styles, comments and hidden elements are left out.
+
+    Only elements of raw text hide all up to their end tag; without one, scripts, styles and the like
+    reach to the end of the page, as in browsers, and a lone noscript tag hides nothing.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack: list[Element] = []
     open_tags: Counter[str] = Counter()
     run: list[str] = []
+    veil: list[str] = []  # open inline elements within a hidden one
     linked = links = at = 0
 
     def flush() -> None:
@@ -74,21 +109,21 @@ def blocks(page: str | None) -> list[Block]:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                path = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
-                out.append(Block(tuple(path), text, min(linked, len(text))))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             run.clear()
         linked = 0
 
     def close(tag: str) -> None:
+        veil.clear()
         while stack:
-            top = stack.pop()[0]
+            top = stack.pop().name[0]
             open_tags[top] -= 1
             if top == tag:
                 break
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not veil and not (stack and stack[-1].unseen):
             text = html.unescape(text) if "&" in text else text
             run.append(text)
             linked += len(text) * (links > 0)
@@ -100,7 +135,9 @@ def blocks(page: str | None) -> list[Block]:
             add(m[0][9:].removesuffix("]]>"))
         elif m[1]:
             tag = m[1].lower()
-            if tag == "a":
+            if veil and tag == veil[-1]:
+                veil.pop()
+            elif tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
                 flush()
@@ -108,25 +145,28 @@ def blocks(page: str | None) -> list[Block]:
                     close(tag)
         elif m[2] or m[4]:
             tag, rest = (m[2] or m[4]).lower(), m[3] or m[5] or ""
-            if tag in HIDDEN_TEXT:
+            if tag in RAW:
                 if not rest.endswith("/"):
                     end = ENDS[tag].search(page, at)
-                    at = end.end() if end else len(page)
-            elif tag == "a":
-                links += 1
+                    at = end.end() if end else at if tag == "noscript" else len(page)
             elif tag == "br":
                 run.append(" ")
             elif tag in BLOCKS:
                 flush()
                 if open_tags["p"]:
                     close("p")
-                elif tag in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+                elif tag in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1].name[0] == tag:
                     close(tag)
                 if tag not in VOID:
                     words = [w for v in NAMED.findall(rest) for w in PARTS.findall("".join(v).lower())] if "=" in rest else []
-                    stack.append((tag, *words))
+                    stack.append(element(stack[-1] if stack else None, tag, *words, unseen=tag in UNSEEN or VEILED.search(rest) is not None))
                     open_tags[tag] += 1
                     links = 0
+                    veil.clear()
+            elif tag not in VOID and not rest.endswith("/") and (tag == veil[-1] if veil else VEILED.search(rest)):
+                veil.append(tag)
+            elif tag == "a":
+                links += 1
     add(page[at:])
     flush()
     return out
@@ -134,28 +174,52 @@ def blocks(page: str | None) -> list[Block]:
 
 def told(found: list[Block]) -> list[int]:
     """Labels from a page's own structure: 1 for main text. Without telling elements, long unlinked text."""
-    outside = [any(e[0] in OUTSIDE or OUTSIDE_WORDS.intersection(e[1:]) for e in b.path) for b in found]
-    inside = [any(e[0] in INSIDE or INSIDE_WORDS.intersection(e[1:]) for e in b.path) for b in found]
+    outside = [bool(b.inner and b.inner.outside) for b in found]
+    inside = [bool(b.inner and b.inner.inside) for b in found]
     if any(i and not o for i, o in zip(inside, outside, strict=True)):
         return [int(i and not o) for i, o in zip(inside, outside, strict=True)]
     return [int(not o and len(b.text) >= 80 and b.linked < 0.3 * len(b.text)) for b, o in zip(found, outside, strict=True)]
 
 
-def varied(found: list[Block], labels: list[int], texts: list[str], rng: random.Random) -> tuple[list[Block], list[int]]:
-    """A page with foreign blocks put in, and with some of its path tokens left out."""
+def varied(found: list[Block], labels: list[int], texts: list[str], rng: random.Random, unknown: bool) -> tuple[list[Block], list[int]]:
+    """A page with foreign blocks put in; if ``unknown``, with no telling tag and with names that say nothing.
+
+    Where names say nothing, foreign blocks are short or linked, so that texts and their order must tell.
+    """
     kinds = [("aside",), ("div", "sidebar"), ("div", "cookie", "notice"), ("form",), ("section", "comments"), ("div", "comment"), ("header",), ("div", "ad"), ("div", "advert"), ("ul", "menu"), ("footer",), ("nav",), ("div", "related"), ("div", "share"), ("div", "newsletter", "signup")]
     out = list(zip(found, labels, strict=True))
     for _ in range(rng.randrange(4)):
         at = rng.randrange(len(out) + 1)
-        kind = rng.choice(kinds)
-        near = out[max(0, at - 1)][0].path[:-1] if out else ()
+        near = out[max(0, at - 1)][0].inner if out else None
+        inner = element(near.around if near else None, *rng.choice(kinds))
         text = rng.choice(texts)
-        part = text if rng.random() < 0.5 else " ".join(text.split()[: rng.randint(1, 12)])
-        inner = ((rng.choice(["p", "li", "div"]),),) if rng.random() < 0.7 else ()
-        new = [(Block((*near, kind, *inner), part, len(part) * (rng.random() < 0.3)), 0) for _ in range(rng.randint(1, 3))]
+        part = text if not unknown and rng.random() < 0.5 else " ".join(text.split()[: rng.randint(1, 5 if unknown else 12)])
+        if rng.random() < 0.7:
+            inner = element(inner, rng.choice(["p", "li", "div"]))
+        new = [(Block(inner, part, len(part) * (rng.random() < (0.7 if unknown else 0.3))), 0) for _ in range(rng.randint(1, 3))]
         out[at:at] = new
-    if rng.random() < 0.3:  # the tag that tells the main text is missing
-        out = [(b._replace(path=tuple(("div",) if e[0] in INSIDE else e for e in b.path)), y) for b, y in out]
+    if unknown or rng.random() < 0.3:
+        alias: dict[str, str] = {}
+
+        def renamed(name: tuple[str, ...]) -> tuple[str, ...]:
+            if not unknown:
+                return ("div",) if name[0] in INSIDE else name
+            tag = "div" if name[0] in INSIDE or name[0] in OUTSIDE else name[0]
+            return (tag, *(alias.setdefault(w, f"{rng.randrange(1 << 30):x}") for w in (name if tag != name[0] else name[1:])))
+
+        made: dict[int, Element] = {}
+
+        def moved(e: Element | None) -> Element | None:
+            new = []
+            while e is not None and id(e) not in made:
+                new.append(e)
+                e = e.around
+            top = made[id(e)] if e is not None else None
+            for x in reversed(new):
+                top = made[id(x)] = element(top, *renamed(x.name))
+            return top
+
+        out = [(b._replace(inner=moved(b.inner)), y) for b, y in out]
     return [b for b, _ in out], [y for _, y in out]
 
 
@@ -175,12 +239,12 @@ def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), WIDTH), dtype=np.float32)
     last = max(1, len(found) - 1)
     for i, b in enumerate(found):
-        tokens = {f"{e[0]}.{w}" for e in b.path for w in e[1:]} | {w for e in b.path for w in e[1:]} | {f"<{e[0]}" for e in b.path}
-        x[i, [bucket(t) % PATHS for t in tokens]] = 1
+        bits = (b.inner.bits if b.inner else 0).to_bytes(PATHS // 8, "little")
+        x[i, :PATHS] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
         words = b.text.split()
         hashed = np.bincount([bucket(w) % WORDS for w in words], minlength=WORDS)
         x[i, PATHS : PATHS + WORDS] = hashed / math.sqrt(float(hashed @ hashed))
-        heading = bool(b.path) and b.path[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = bool(b.inner) and b.inner.name[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
         x[i, PATHS + WORDS :] = (math.log1p(len(b.text)) / 8, b.linked / len(b.text), math.log1p(len(words)) / 6, b.text[-1] in ".!?", i / last, heading)
     return x
 
@@ -285,9 +349,14 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def learn(pages: DataFrame, html_col: str = "html", limit: int = PAGES) -> Labeller:
-    """A labeller trained on about ``limit`` pages drawn by a hash; untrained if there are none."""
+    """A labeller trained on the ``limit`` different pages of smallest hash; untrained if there are none.
+
+    Pages beyond twice the share that is needed are left out before equal pages are merged.
+    """
     n = pages.count()
-    drawn = pages.select(F.col(html_col).alias("html")).where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < F.lit(limit / max(n, 1) * (1 << 20))))
+    draw = F.xxhash64("html")
+    drawn = pages.select(F.col(html_col).alias("html")).where(F.col("html").isNotNull() & (F.pmod(draw, F.lit(1 << 30)) < F.lit(2 * limit / max(n, 1) * (1 << 30))))
+    drawn = drawn.groupBy("html").agg(F.count("*").alias("_n")).orderBy(F.pmod(draw, F.lit(1 << 30)), "html").limit(limit).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,13 +366,14 @@ def learn(pages: DataFrame, html_col: str = "html", limit: int = PAGES) -> Label
                 found = blocks(page)
                 texts = [*texts, *(b.text for b in found)][-200:]
                 rng = random.Random(zlib.crc32(page.encode("utf-8", "replace")))
-                for b, y in (lambda own: [(found, own), varied(found, own, texts, rng)])(told(found)):
+                own = told(found)
+                for b, y in ((found, own), varied(found, own, texts, rng, False), varied(found, own, texts, rng, True)):
                     if b:
                         xs.append(vectors(b[:PAGE_BLOCKS]).tobytes())
                         ys.append(bytes(y[:PAGE_BLOCKS]))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
-    rows = sorted(tuple(r) for r in drawn.mapInArrow(run, "x binary, y binary").limit(4 * limit).collect())  # bounded by the pages drawn
+    rows = sorted(tuple(r) for r in drawn.mapInArrow(run, "x binary, y binary").collect())  # three rows a page drawn
     made = Labeller()
     if rows:
         made.train([(np.frombuffer(x, np.float32).reshape(-1, WIDTH), np.frombuffer(y, np.uint8).astype(float)) for x, y in rows])
