@@ -422,3 +422,55 @@ def test_streamed_logins_are_the_batch_ones(spark, tmp_path):
     want = sorted(tuple(r) for r in A.collapse_failed_logins(df.select("key", F.unix_timestamp("ts").alias("ts"))).where("key <> 'end'").collect())
     assert got == want
     assert G.LOCAL_FIELDS == ("owner", "created_at", "finished_at")
+
+
+def test_language_pieces_cover_the_text(spark):
+    rng = np.random.default_rng(7)
+    text = "".join(rng.choice(["alpha", "beta", " ", ". ", "\n", "\n\n"], 400, p=[0.25, 0.25, 0.3, 0.1, 0.05, 0.05]))
+    got = [r.content for r in C.chunk_language(docs(spark, text), 60, 0).orderBy("chunk_index").collect()]
+    assert all(0 < len(c) <= 60 for c in got) and "".join("".join(got).split()) == "".join(text.split())
+    lapped, at = [r.content for r in C.chunk_language(docs(spark, text), 60, 20).orderBy("chunk_index").collect()], 0
+    for c in lapped:
+        at = text.index(c, at)
+    assert all(len(c) <= 60 for c in lapped) and len(lapped) >= len(got)
+
+
+def test_semantic_runs_are_brute_force(spark):
+    embed = models.hashed_words(16)
+    text = "sun and moon. moon and sun. the sea is deep. deep is the sea. nothing here\nof them. sun and moon"
+    parts = [p.strip() for p in text.replace("\n", " ").split(". ") if p.strip()]
+    v = [np.array(r.v) for r in spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, s string").select("i", embed(F.col("s")).alias("v")).orderBy("i").collect()]
+    runs = [[parts[0]]]
+    for a, b, p in zip(v, v[1:], parts[1:]):
+        if a @ b / np.linalg.norm(a) / np.linalg.norm(b) < 0.6:
+            runs.append([])
+        runs[-1].append(p)
+    got = [r.content for r in C.chunk_semantic(docs(spark, text), embed, 0.6).orderBy("chunk_index").collect()]
+    assert got == [". ".join(r) + "." for r in runs] and len(got) > 1
+
+
+def test_fences_keep_blank_lines(spark):
+    text = "# title\n\n```py\na\n\nb\n```\n\n\nlast"
+    assert [r.text for r in C.paragraph_units(docs(spark, text), markdown=True).orderBy("pos").collect()] == ["# title", "```py\na\n\nb\n```", "last"]
+    assert len(C.paragraph_units(docs(spark, text)).collect()) == 4
+
+
+def test_parts_hold_whole_paragraphs(spark):
+    rng = np.random.default_rng(8)
+    paragraphs = ["p" * int(n) for n in rng.integers(1, 80, 40)]
+    rows = C.split_over_limit(docs(spark, "\n\n".join(paragraphs), "short"), 100).orderBy("source_file", "part").collect()
+    first = [r.text for r in rows if r.source_file == "d0"]
+    assert "\n\n".join(first).split("\n\n") == paragraphs and all(len(t) <= 100 for t in first)
+    assert all(len(a) + 2 + len(b.split("\n\n")[0]) > 100 for a, b in zip(first, first[1:])) and {r.of for r in rows} == {len(first), 1}
+
+
+def test_near_text_is_brute_force(spark):
+    embed = models.hashed_words(8)
+    texts = ["sun moon", "sea", "moon", "star sea sun", "sun"]
+    c = spark.createDataFrame(list(enumerate(texts)), "id long, content string").withColumn("vector", embed(F.col("content")))
+    q = spark.createDataFrame([(0, "sun"), (1, "sea moon")], "query_id long, question string")
+    v = {r.id: np.array(r.vector) for r in c.collect()}
+    asked = {r.query_id: np.array(r.v) for r in q.select("query_id", embed(F.col("question")).alias("v")).collect()}
+    for r in R.near_text(q, c, 5, embed).collect():
+        order = sorted(v, key=lambda i: (-round(float(v[i] @ asked[r.query_id] / np.linalg.norm(v[i]) / np.linalg.norm(asked[r.query_id])), 12), i))
+        assert order[r["rank"] - 1] == r.id
