@@ -314,7 +314,7 @@ class Labeller:
             order = rng.permutation(len(pages))
             for s in range(0, len(order), 32):
                 x, mask, y = padded([pages[k] for k in order[s : s + 32]])
-                x[..., :PATHS] *= rng.random((1, x.shape[1], PATHS)) > 0.1
+                x[..., :PATHS] *= rng.random((1, x.shape[1], PATHS)) > np.where(rng.random((1, x.shape[1], 1)) < 0.3, 0.6, 0.1)
                 step += 1
                 for k, g in self.gradients(x, mask, y).items():
                     g = np.clip(g, -1, 1)
