@@ -252,7 +252,7 @@ def test_training_pages_are_drawn_whatever_their_order(spark):
 
 
 def test_unknown_names_keep_the_main_text(spark):
-    made = html_text.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    made = html_text.learn(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
     para = "Dies ist ein langer Absatz über das Wetter, der in ganzen Sätzen erzählt, was gestern geschah. Er endet mit einem Punkt."
     page = f"<html><body><div class='kopf'><a href='/'>Start</a> <a href='/a'>Mehr</a></div><div class='inhalt'>{''.join(f'<p>{para}</p>' for _ in range(5))}</div><div class='fusszeile'><a href='/i'>Impressum</a></div></body></html>"
     text = html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), made).first().text
