@@ -123,7 +123,7 @@ def test_whitening_of_odd_tables(spark):
     assert len(got) == 4 and all(r.whitened is None and r.deviation == 0 and r.explained == 0 and r.identity_error == 0 for r in got)
     for none in (rows.where("vec_id > 2"), spark.createDataFrame([(1, [], 1, ""), (2, None, 1, "")], VECTORS)):
         assert whitening.whiten(none).count() == 0
-    assert whitening.exact_deviation(np.array([[2**40, 0]]), 3, [2**40, 0]) and 1
+    assert whitening.exact_deviation(np.array([[2**40, 5]]), 2**20, [2**60 - 1, 0]) == [1 + 25 * 2**40]
     with pytest.raises(OverflowError):
         whitening.exact_deviation(np.array([[2**40]]), 2**30, [0])
 
