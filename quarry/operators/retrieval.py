@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,39 +73,86 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where((F.size("vector") > 0) & finite)
 
 
-def near_vector_approx(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 6, tables: int = 16, seed: int = 5, probes: int = 3) -> DataFrame:
-    """Approximate nearest chunks by cosine: candidates share a sign pattern in some table, then exact scores.
+def signatures(width: int, bits: int, tables: int, seed: int, probes: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """(pattern of a vector in each table, patterns to probe in each table) as column functions.
 
-    A query also probes, in each table, the patterns that differ in one of its ``probes`` signs
-    nearest to zero. Vectors that are not valid or not of the usual width are no candidates and
-    find none.
+    A pattern holds the signs of the products with ``bits`` random planes. Probed are the own pattern
+    and the ``probes`` others that are reached by turning over the signs nearest to zero: sets of signs in the
+    order of their squared margins, taken from the few nearest ones.
+    """
+    planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
+    near = min(bits, max(1, (probes + 1).bit_length() + 2))  # signs that may be turned over
+    sets = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1
+
+    def margins(vectors: pd.Series) -> np.ndarray:
+        x = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), width)
+        return (x @ planes).reshape(len(x), tables, bits)
+
+    @F.pandas_udf("array<int>")
+    def own(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(((margins(vectors) > 0) @ (1 << np.arange(bits))).astype(np.int32)))
+
+    @F.pandas_udf("array<array<int>>")
+    def probed(vectors: pd.Series) -> pd.Series:
+        out = []
+        for m in margins(vectors):  # a query at a time: sets times tables stay small
+            place = np.argsort(np.abs(m), axis=1, kind="stable")[:, :near]
+            cost = np.take_along_axis(m * m, place, 1) @ sets.T
+            flips = (1 << place) @ sets.T
+            best = np.argsort(cost, axis=1, kind="stable")[:, : probes + 1]
+            code = ((m > 0) @ (1 << np.arange(bits)))[:, None] ^ np.take_along_axis(flips, best, 1)
+            out.append(code.astype(np.int32).tolist())
+        return pd.Series(out)
+
+    return own, probed
+
+
+def sharing_keys(asked: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """Rows of both sides that share ``_t`` and ``_p``; a large bucket is dealt as a grid of blocks, so no task gets all of it.
+
+    ``asked`` has query_id, ``held`` id. Buckets are counted on both sides; the counts are a row for
+    each bucket that is large, of which there are few and never more than patterns.
     """
-    import numpy as np
+    keys = ["_t", "_p"]
+    h = held.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_hb"))
+    q = asked.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_qb"))
+    large = settled(h.join(q, keys, "full_outer").select(*keys, F.coalesce("_hb", F.lit(1)).alias("_hb"), F.coalesce("_qb", F.lit(1)).alias("_qb")))
+
+    def dealt(side: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        found = side.join(large, keys, "left").withColumn(own, F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int"))
+        return found.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    return dealt(held, "id", "_hb", "_qb").join(dealt(asked, "query_id", "_qb", "_hb"), [*keys, "_hb", "_qb"])
+
 
+def candidate_pairs(queries: DataFrame, chunks: DataFrame, bits: int = 10, tables: int = 24, seed: int = 5, probes: int = 20, block: int = 4096) -> DataFrame:
+    """query_id, id, _q, vector, _m, _n of pairs that share a pattern in some table, once for each table in which they do.
+
+    An equi join on (table, pattern): only pairs that share a key are formed. ``_m`` and ``_n`` are the
+    lengths of the vectors. Vectors that are not valid or not of the usual width take no part.
+    """
     width = usual_width(chunks)
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, width or 1))
+    own, probed = signatures(width or 1, bits, tables, seed, probes)
     usual, norm = F.size("vector") == (width or 0), F.sqrt(dot(F.col("vector"), F.col("vector")))
+    asked = valid(queries).where(usual).select("query_id", F.col("vector").alias("_q"), norm.alias("_m"), F.posexplode(probed("vector")).alias("_t", "_ps"))
+    held = valid(chunks).where(usual).select("id", "vector", norm.alias("_n"), F.posexplode(own("vector")).alias("_t", "_p"))
+    return sharing_keys(asked.select("query_id", "_q", "_m", "_t", F.explode("_ps").alias("_p")), held, block)
 
-    fixed = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in p) + ")" for p in t) + ")" for t in planes.tolist()) + ")")
-    margins = F.transform(fixed, lambda t: F.transform(t, lambda p: dot(F.col("vector"), p)))
-
-    def pattern(m: Column) -> Column:
-        return F.aggregate(m, F.lit(0), lambda s, x: s * 2 + (x > 0).cast("int"))
 
-    def probed(m: Column) -> Column:
-        order = F.array_sort(F.transform(m, lambda x, i: F.struct(F.abs(x).alias("far"), i.alias("i"))))
-        flips = F.transform(F.slice(order, 1, probes), lambda x: F.pow(F.lit(2), bits - 1 - x["i"]).cast("int"))
-        own = pattern(m)
-        return F.concat(F.array(own), F.transform(flips, lambda x: own.bitwiseXOR(x)))
+def near_vector_approx(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 10, tables: int = 24, seed: int = 5, probes: int = 20, block: int = 4096) -> DataFrame:
+    """Approximate nearest chunks by cosine: candidates share a sign pattern in some table, then exact scores.
 
-    asked = valid(queries).where(usual).select("query_id", "vector", norm.alias("_m"), F.transform(margins, probed).alias("_p"))
-    held = valid(chunks).where(usual).select("id", "vector", norm.alias("_n"), F.transform(margins, pattern).alias("_k"))
-    shared = F.lit(False)
-    for t in range(tables):
-        shared = shared | F.array_contains(F.col("_p")[t], F.col("_k")[t])
-    found = paired(asked, held).where(shared)
+    Of equal vectors only the k smallest ids can be among anyone's k best, and only these are
+    candidates. A pair that meets in several tables has the same score in each; every task keeps k
+    pairs for each table and query before they are told apart. More bits give smaller buckets and need more tables or
+    probes for the same recall.
+    """
+    alike = W.partitionBy("vector").orderBy("id")
+    useful = valid(chunks).select("id", "vector").withColumn("_i", F.row_number().over(alike)).where(F.col("_i") <= k).drop("_i")
+    pairs = candidate_pairs(queries, useful, bits, tables, seed, probes, block)
     cosine = F.try_divide(dot(F.col("_q"), F.col("vector")), F.col("_m") * F.col("_n"))  # lengths once a row, not once a pair
-    return top_k(found.select("query_id", "id", score(1 - cosine, "cosine").alias("score")), k)
+    scored = pairs.select("query_id", "id", score(1 - cosine, "cosine").alias("score"))
+    return top_k(top_k(scored, k * tables).select("query_id", "id", "score").distinct(), k)
 
 
 def tokens(c: Column) -> Column:

@@ -93,6 +93,38 @@ def test_approximate_search_ignores_odd_vectors(spark):
     assert R.near_vector_approx(c.where("id < 5").selectExpr("id as query_id", "vector"), c.where("id < 2"), 2).count() == 0
 
 
+def test_approximate_search_forms_only_pairs_that_share_a_key(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    plan = R.near_vector_approx(asked, rows, 10)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    formed = R.candidate_pairs(asked, rows).select("query_id", "id")
+    share = formed.distinct().count() / (40 * 2000)
+    assert 0.3 < share < 0.45 and formed.count() / (40 * 2000) < 0.65  # nearly uniform vectors: most of the cost is theirs
+
+
+def test_approximate_search_of_clusters_and_copies(spark):
+    """Vectors in tight clusters, a third of all of them equal: few pairs are formed and the hits are the true ones."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 32))
+    v = np.concatenate([np.repeat(centres[:1], 1000, 0), (centres[rng.integers(0, 60, 2000)] + 0.15 * rng.standard_normal((2000, 32)))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>").cache()
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {i: np.lexsort((np.arange(3000), -np.round(u @ u[i], 12)))[:10].tolist() for i in range(0, 3000, 50)}
+    got = {}
+    own = {"bits": 12, "tables": 12, "probes": 2}
+    for r in R.near_vector_approx(asked, rows, 10, block=64, **own).collect():  # buckets dealt as blocks
+        got.setdefault(r.query_id, []).append(r.id)
+    assert recall(got, want)[0] >= 0.95 and all(len(g) == 10 for g in got.values())
+    useful = rows.where("id < 10 or id >= 1000")
+    share = R.candidate_pairs(asked, useful, block=64, **own).select("query_id", "id").distinct().count() / (60 * 2010)
+    assert share < 0.15
+    same = R.candidate_pairs(asked, useful, block=10**6, **own).select("query_id", "id").distinct()
+    assert same.exceptAll(R.candidate_pairs(asked, useful, block=64, **own).select("query_id", "id").distinct()).count() == 0
+
+
 def test_parts(spark):
     for name, base in (("a.txt", "a.txt"), ("a.txt (part 1)", "a.txt"), ("a.txt (part 01)", "a.txt (part 01)"), ("a.txt (part 2) (part 1)", "a.txt (part 2)")):
         assert one(spark, name, T.base_of) == base
