@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators.chunking import in_order
+from quarry.operators.folds import Anchored, numbered
 
 # Upper bounds of the duration histogram in seconds, and cells that a spreadsheet takes for formulas.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300]
@@ -133,32 +130,11 @@ def classify_requests(requests: DataFrame, templates: DataFrame) -> DataFrame:
 def collapse_failed_logins(events: DataFrame, seconds: int = 60) -> DataFrame:
     """key, first, count, last: the first failure of a key opens a window; later ones within it are counted.
 
-    ``events``: key, ts (seconds). Windows are anchored at their first failure, so a key's times must
-    be read in order: they are counted per second first, and then pass through a task as a stream,
-    of which only the open window is held.
+    ``events``: key, ts (seconds). Windows are anchored at their first failure, so where one begins
+    depends on all before it: times are counted per second first, and then folded in blocks, so that
+    one key's times are worked on by all tasks. Null times are left out; a null key is a key.
     """
     counted = events.where("ts is not null").groupBy("key", F.col("ts").cast("long").alias("ts")).agg(F.count("*").alias("n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = None  # key, first, count, last
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field("key").type
-            done = []
-            for key, t, n in zip(*(batch.column(c).to_pylist() for c in ("key", "ts", "n")), strict=True):
-                if open_ is not None and open_[0] == key and t < open_[1] + seconds:
-                    open_ = (key, open_[1], open_[2] + n, t)
-                else:
-                    if open_ is not None:
-                        done.append(open_)
-                    open_ = (key, t, n - 1, t)
-            yield windows(done, kind)
-        if open_ is not None:
-            yield windows([open_], kind)
-
-    def windows(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (kind, pa.int64(), pa.int32(), pa.int64()), strict=True)], ["key", "first", "count", "last"])
-
-    kind = events.schema["key"].dataType.simpleString()
-    return in_order(counted, ("key",), "ts").mapInArrow(run, f"key {kind}, first long, count int, last long")
+    rows = numbered(counted, ["key"], ["ts"], ["ts"], Anchored(seconds), "window")
+    out = rows.groupBy("key", "window").agg(F.min("ts").alias("first"), (F.sum("n") - 1).cast("int").alias("count"), F.max("ts").alias("last"))
+    return out.select("key", "first", "count", "last")
