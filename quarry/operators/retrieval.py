@@ -11,18 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import citation_text, distance, dot, score
+from quarry.operators.written import written
 
 #: BM25's usual constants (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
 #: Bytes of query vectors that are broadcast, or sent to one block of chunks, at once.
 MOST_BYTES = 32 << 20
-#: Asked terms that every task holds; more are joined.
-MOST_TERMS = 20_000
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once, where the session names a folder for checkpoints; what reads it twice doesn't make it twice."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+#: Rows of a table of terms that is sent to every task; a larger one is shuffled.
+MOST_TERMS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -116,7 +112,7 @@ def sharing_keys(asked: DataFrame, held: DataFrame, block: int) -> DataFrame:
     keys = ["_t", "_p"]
     h = held.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_hb"))
     q = asked.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_qb"))
-    large = settled(h.join(q, keys, "full_outer").select(*keys, F.coalesce("_hb", F.lit(1)).alias("_hb"), F.coalesce("_qb", F.lit(1)).alias("_qb")))
+    large = written(h.join(q, keys, "full_outer").select(*keys, F.coalesce("_hb", F.lit(1)).alias("_hb"), F.coalesce("_qb", F.lit(1)).alias("_qb")))
 
     def dealt(side: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
         found = side.join(large, keys, "left").withColumn(own, F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int"))
@@ -159,32 +155,34 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def few(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """``df``, sent to every task in joins if it has at most ``most`` rows; counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, id, score (BM25 over content) of every chunk that holds an asked term.
 
-    A chunk's asked terms are counted within its row; only these counts are joined. With a column
-    ``collection`` on both sides, a question meets the chunks of its collection, and so do the statistics.
+    Chunks are read once: their tokens are matched with the asked terms and counted before anything is
+    shuffled, beside a row without term for the length of each chunk. With a column ``collection`` on both sides,
+    a question meets the chunks of its collection, and so do the statistics.
     """
     by = ["collection"] if "collection" in queries.columns and "collection" in chunks.columns else []
-    terms = queries.select("query_id", *by, F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    asked = terms.select("term").distinct()
-    sized = chunks.select("id", *by, tokens(F.col("content")).alias("_t"))
-    known = [r[0] for r in asked.limit(MOST_TERMS + 1).collect()]  # bounded
-    if len(known) <= MOST_TERMS:
-        hits = F.filter("_t", lambda t: t.isin(known)) if known else F.array().cast("array<string>")
-        counted = F.transform(F.array_distinct("_h"), lambda d: F.struct(d.alias("term"), F.size(F.filter("_h", lambda t: t == d)).cast("long").alias("tf")))
-        rows = settled(sized.select("id", *by, F.size("_t").alias("dl"), hits.alias("_h")).select("id", *by, "dl", counted.alias("_c")))
-        tf = rows.select("id", *by, "dl", F.inline("_c"))
-        lengths = rows
-    else:
-        lengths = sized.select("id", *by, F.size("_t").alias("dl"))
-        tf = sized.select("id", *by, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked, "term", "left_semi").groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf"))
-    stats = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms = written(queries.select("query_id", *by, F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")))
+    nothing = F.array(F.lit(None).cast("string"))
+    asked = few(terms.select(F.col("term").alias("_term")).union(terms.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct())
+    sized = chunks.select("id", *by, F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("_t"))
+    sized = sized.withColumn("dl", F.size("_t"))  # before the tokens become rows, which need not carry them all
+    every = sized.select("id", *by, "dl", F.explode(F.concat("_t", nothing)).alias("term"))
+    hits = every.join(asked, F.col("term").eqNullSafe(F.col("_term")), "left_semi")
+    counted = written(hits.groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf")))
+    lengths, tf = counted.where("term is null"), counted.where("term is not null")
+    stats = lengths.groupBy(*by).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # One row for each term (and collection): far fewer than the counts they are joined to.
-    told = df.join(stats, by) if by else df.join(F.broadcast(stats))
-    return tf.join(told, [*by, "term"]).withColumn("w", weight).join(terms, [*by, "term"]).groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score"))
+    # A row for each asked term (and collection), with the statistics and the questions that ask it.
+    told = few(written((df.join(stats, by) if by else df.join(F.broadcast(stats))).join(terms, [*by, "term"])))
+    return tf.join(told, [*by, "term"]).groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -254,13 +252,13 @@ def batch_query(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, set
     """
     mine = allowed.select("user", "collection").distinct()
     known = questions.join(mine, ["user", "collection"], "left_semi").join(settings.select("collection", "retrieval_mode", "top_k", F.col("alpha").alias("_alpha"), "response_format"), "collection")
-    known = settled(known.withColumn("vector", embed(F.col("question"))))
+    known = written(known.withColumn("vector", embed(F.col("question"))))
     near = known.where("retrieval_mode <> 'hybrid'").select("query_id", "vector", F.col("collection").alias("_of"))
     pairs = score_pairs(near, chunks.select("id", "vector", "collection")).where("_of = collection").select("query_id", "id", "score")
     mixed = hybrid(known.where("retrieval_mode = 'hybrid'").select("query_id", "collection", "question", "vector", "_alpha"), chunks.select("id", "collection", "content", "vector"), F.col("_alpha"), MOST_HITS)
     hits = top_k(pairs, MOST_HITS).unionByName(mixed)
     hits = hits.join(known.select("query_id", "top_k", "response_format"), "query_id").where("rank <= top_k")
-    found = settled(hits.join(chunks.select("id", "source_file", "chunk_index", "content"), "id"))
+    found = written(hits.join(chunks.select("id", "source_file", "chunk_index", "content"), "id"))
     cited = citations(found).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_file", "chunk_index", "score", F.col("content").alias("excerpt")))).alias("citations"))
     context = build_context(found.where("response_format <> 'engineer'")).unionByName(build_context(found.where("response_format = 'engineer'"), engineer=True))
     out = questions.select("query_id").join(known.select("query_id", F.lit("ok").alias("status")), "query_id", "left").join(cited, "query_id", "left").join(context, "query_id", "left")

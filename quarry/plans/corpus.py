@@ -12,6 +12,7 @@ from quarry.operators import evaluation as G
 from quarry.operators import maintenance as M
 from quarry.operators import retrieval as R
 from quarry.operators import store as S
+from quarry.operators.written import written
 from quarry.plans.chunking import overlap_chunks
 from quarry.plans.common import CHUNKS, DOCS, documents, registering, table
 from quarry.sources import files as IO
@@ -242,7 +243,7 @@ b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 
 def with_contents(s, d, hits):
     """Hits with their chunks: only the documents of hits are chunked again."""
-    hits = R.settled(hits)
+    hits = written(hits)
     named = F.broadcast(hits.select(F.floor(F.col("id") / 100_000).alias("doc_id")).distinct())  # k hits a question
     chunks = C.chunk_overlap(documents(s, d).join(named, "doc_id", "left_semi"), 1000, 200, 300)
     doc = F.regexp_extract("source_file", r"doc-(\d+)\.txt$", 1).cast("long")
@@ -268,7 +269,7 @@ def citations(s, d):
 def hybrid(s, d):
     embed = hashed_words(32)
     asked = questions(s, d).withColumn("vector", embed(F.col("question")))
-    chunks = R.settled(contents(s, d).select("id", "content", embed(F.col("content")).alias("vector")))
+    chunks = written(contents(s, d).select("id", "content", embed(F.col("content")).alias("vector")))
     return R.hybrid(asked, chunks, 0.5, 10)
 
 

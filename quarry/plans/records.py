@@ -15,6 +15,7 @@ from quarry.operators import maintenance as M
 from quarry.operators import retrieval as R
 from quarry.operators import settings as P
 from quarry.operators import store as S
+from quarry.operators.written import written
 from quarry.plans import corpus, operations
 from quarry.plans.chunking import LINES
 from quarry.plans.common import CHUNKS, DOCS, documents, registering, table
@@ -455,4 +456,4 @@ def batch_query(s, d):
     asked = corpus.questions(s, d).withColumn("user", users).join(F.broadcast(langs)).select(F.concat_ws("/", k, "user", "collection").alias("query_id"), "user", "collection", "question")
     allowed = langs.select(F.lit("a").alias("user"), "collection").unionByName(langs.where("collection = 'en'").select(F.lit("b").alias("user"), "collection"))
     saved = langs.where("collection <> 'fr'").select("collection", F.when(F.col("collection") == "de", "hybrid").alias("retrieval_mode"), F.lit(3).alias("top_k"), F.when(F.col("collection") == "de", "engineer").alias("response_format"))
-    return R.batch_query(asked, R.settled(chunks), allowed, P.resolve_settings(langs, saved, P.RETRIEVAL), embed)
+    return R.batch_query(asked, written(chunks), allowed, P.resolve_settings(langs, saved, P.RETRIEVAL), embed)
