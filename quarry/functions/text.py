@@ -27,8 +27,10 @@ def normalise_text(c: Column) -> Column:
 
 
 def source_type(name: Column) -> Column:
-    """Type by suffix; the suffix before .gz counts for JSON."""
-    return F.regexp_extract(F.lower(name), r"\.(txt|md|csv|json|jsonl|pdf|docx|html)(?:\.gz)?$", 1)
+    """Type by suffix; before .gz only that of JSON and JSON Lines counts. Empty for any other."""
+    low = F.lower(name)
+    zipped = F.regexp_extract(low, r"\.(jsonl?)\.gz$", 1)
+    return F.when(zipped != "", zipped).otherwise(F.regexp_extract(low, r"\.(txt|md|csv|json|jsonl|pdf|docx|html)$", 1))
 
 
 def stem(name: Column) -> Column:
@@ -189,9 +191,10 @@ def part_limit(strategy: Column, size: Column, overlap: Column) -> Column:
     """The most text one part may hold under its strategy's limits on chunks and output."""
     cap, text = F.lit(MOST_CHUNKS), F.lit(MOST_TEXT)
     stride = size - overlap
-    windows = F.floor((text - size) / size) + 1  # windows whose output stays within the limit
-    overlapped = F.least(size + (F.least(cap, windows) - 1) * stride, text)
-    return F.when(strategy == "overlap", overlapped).when(strategy == "language", F.least(text, cap * stride)).otherwise(F.least(text, cap * size)).cast("long")
+    # A text of w windows is longer than size + (w - 2) * stride, and w - 1 overlaps are written twice.
+    windows = F.greatest(F.least(cap, F.floor((text + size - overlap - 1) / size)), F.lit(1))
+    overlapped = F.least(size + (windows - 1) * stride, text - (windows - 1) * overlap)
+    return F.when(strategy == "overlap", overlapped).when(strategy == "language", F.least(text, cap * F.greatest(stride, F.lit(1)))).when(strategy == "semantic", text).otherwise(F.least(text, cap * size)).cast("long")
 
 
 def http_result(status: Column) -> Column:
@@ -203,17 +206,40 @@ def job_result(status: Column) -> Column:
 
 
 def parse_iso_utc(c: Column) -> Column:
-    """A time from ISO 8601 text, UTC without offset; null if it is none."""
-    return F.try_to_timestamp(c)
+    """A time from ISO 8601 text; null if it is none. Without offset it is UTC, whatever the session's zone."""
+    c = F.trim(c)
+    day, offset = c.rlike(r"^\d{4}-\d\d-\d\d$"), c.rlike(r"(?i)(z|[+-]\d\d(:?\d\d)?(:\d\d)?)$") & c.rlike(r"\d\d:\d\d|T\d\d")
+    return F.try_to_timestamp(F.when(day, F.concat(c, F.lit("T00:00:00Z"))).when(offset, c).otherwise(F.concat(c, F.lit("Z"))))
 
 
-def property_digest(*columns: str) -> Column:
-    """Digest of the non-null properties as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+def normal_property(c: Column, kind: str, name: str = "") -> Column:
+    """A property as text that tells equal values alike: whole numbers without point, times in UTC.
+
+    ``kind`` is its Spark type. ``created_at`` is a time also where it is text.
+    """
+    if kind.startswith("timestamp"):
+        return F.concat(F.lit("t"), F.unix_micros(c.cast("timestamp")).cast("string"))
+    if name == "created_at" and kind == "string":
+        at = parse_iso_utc(c)
+        return F.when(at.isNotNull(), F.concat(F.lit("t"), F.unix_micros(at).cast("string"))).otherwise(F.concat(F.lit("s"), c))
+    if kind in ("float", "double"):
+        whole = (c == F.floor(c)) & (F.abs(c) < 2.0**63)
+        return F.concat(F.lit("n"), F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("double").cast("string")))
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return F.concat(F.lit("n"), F.regexp_replace(c.cast("string"), r"\.0+$", ""))
+    return F.concat(F.lit("s"), c.cast("string")) if kind == "string" else F.to_json(F.struct(c.alias("v")))
+
+
+def property_digest(properties: dict[str, str]) -> Column:
+    """Digest of the non-null properties (name to Spark type) as JSON with sorted keys, values as ``normal_property`` has them."""
+    return F.sha2(F.to_json(F.struct(*[normal_property(F.col(c), properties[c], c).alias(c) for c in sorted(properties)])), 256)
 
 
 def vector_digest(v: Column) -> Column:
-    return F.sha2(F.concat_ws(",", F.transform(v, lambda x: x.cast("float").cast("string"))), 256)
+    """Digest of a vector as 32-bit numbers. A null or empty vector, a null component, and one that is not a finite 32-bit number, are an error."""
+    fine = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= 3.4028234663852886e38))
+    text = F.concat_ws(",", F.transform(v, lambda x: (x.cast("float") + F.lit(0.0).cast("float")).cast("string")))
+    return F.when(F.coalesce(fine, F.lit(False)), F.sha2(text, 256)).otherwise(F.raise_error(F.lit("missing or invalid vector")))
 
 
 def document_header(title: Column, summary: Column) -> Column:

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import aliases, usable_pair
 
 
-def sample_priority(uuid_hex: Column, seed: int | str) -> Column:
-    head = b"rag-evaluation-sample-v1\0seed\0" + str(seed).encode() + b"\0"
+def sample_priority(uuid_hex: Column, seed: int | None) -> Column:
+    """The hash that ranks an id under a seed; without one, under 32 fresh random bytes."""
+    told = b"nonce\0" + secrets.token_bytes(32) if seed is None else b"seed\0" + str(seed).encode()
+    head = b"rag-evaluation-sample-v1\0" + told + b"\0"
     return F.sha2(F.concat(F.unhex(F.lit(head.hex())), F.unhex(uuid_hex)), 256)
 
 
-def sample_chunks(chunks: DataFrame, n: int, seed: int, uuid_hex: str = "uuid_hex") -> DataFrame:
-    """The n distinct ids of smallest hash: the same for any order and partitioning."""
+def sample_chunks(chunks: DataFrame, n: int, seed: int | None, uuid_hex: str = "uuid_hex") -> DataFrame:
+    """The n distinct ids of smallest hash: the same for any order and partitioning, and for a seed each time."""
     return chunks.select(uuid_hex).distinct().withColumn("priority", sample_priority(F.col(uuid_hex), seed)).orderBy("priority", uuid_hex).limit(n)
 
 
@@ -46,12 +50,22 @@ def generate_pairs(sample: DataFrame, fn: Callable[[str], str], retries: int = 1
 
 
 def regenerate_pairs(pairs: DataFrame, fresh: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs replaced by fresh ones of the same pair_id unless they changed since ``seen``."""
-    s = seen.select("pair_id", F.col("question").alias("_q"))
-    f = fresh.select("pair_id", F.col("question").alias("_fq"), F.col("answer").alias("_fa"))
-    ok = F.col("_fq").isNotNull() & F.col("question").eqNullSafe(F.col("_q"))
+    """Pairs replaced whole by fresh ones of the same pair_id; one that changed in any way since ``seen`` stays.
+
+    ``seen`` holds the pairs as they were when regeneration began. A fresh pair has question and
+    answer; a column of pairs that it doesn't have starts anew where it tells of the old pair
+    (ground_truth: the answer, status: pending) and stays where it tells of its chunk. A fresh pair
+    without question leaves the old one.
+    """
+    told = [c for c in pairs.columns if c != "pair_id" and c in seen.columns]
+    s = seen.select("pair_id", F.struct(*told).alias("_seen"))
+    new = [c for c in fresh.columns if c != "pair_id" and c in pairs.columns]
+    f = fresh.select("pair_id", F.struct(*new).alias("_new"))
     out = pairs.join(s, "pair_id", "left").join(f, "pair_id", "left")
-    return out.withColumn("answer", F.when(ok, F.col("_fa")).otherwise(F.col("answer"))).withColumn("question", F.when(ok, F.col("_fq")).otherwise(F.col("question"))).drop("_q", "_fq", "_fa")
+    ok = F.col("_new.question").isNotNull() & F.struct(*told).eqNullSafe(F.col("_seen"))
+    begun = {"ground_truth": F.col("_new.answer"), "status": F.lit("pending")}
+    values = {c: F.col(f"_new.{c}") if c in new else begun.get(c, F.col(c)) for c in pairs.columns if c != "pair_id"}
+    return out.select(*["pair_id" if c == "pair_id" else F.when(ok, values[c]).otherwise(F.col(c)).alias(c) for c in pairs.columns])
 
 
 EDITABLE = ("question", "answer", "ground_truth")
@@ -115,10 +129,16 @@ def eval_set(pairs: DataFrame) -> DataFrame:
 
 
 def flag_sessions(sessions: DataFrame, collections: DataFrame, flag: str, reason: str) -> DataFrame:
-    """Sessions with ``flag`` set where their collection, in either spelling, is named; none is deleted."""
+    """Sessions with ``flag`` and ``<flag>_reason`` set where their collection, in either spelling, is named.
+
+    No session is deleted, and what earlier flaggings set stays where this one doesn't hit.
+    """
     named = collections.select(F.explode(aliases(F.col("collection"))).alias("collection")).distinct().withColumn("_hit", F.lit(True))
-    out = sessions.join(named, "collection", "left")
-    return out.withColumn(flag, F.coalesce("_hit", F.lit(False))).withColumn("reason", F.when(F.col("_hit"), reason)).drop("_hit")
+    out = sessions.join(named, "collection", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    why = f"{flag}_reason"
+    had = F.coalesce(F.col(flag), F.lit(False)) if flag in sessions.columns else F.lit(False)
+    old = F.col(why) if why in sessions.columns else F.lit(None).cast("string")
+    return out.withColumn(flag, had | F.col("_hit")).withColumn(why, F.when(F.col("_hit"), reason).otherwise(old)).drop("_hit")
 
 
 #: Fields that belong to the installation a session comes from.
@@ -126,10 +146,23 @@ LOCAL_FIELDS = ("owner", "created_at", "finished_at")
 
 
 def import_sessions(sessions: DataFrame, existing: DataFrame, collection: Column | str | None = None) -> DataFrame:
-    """Sessions under their id if it is free, else under a new one, with where they come from; local fields go."""
-    taken = existing.select(F.col("session").cast("string").alias("session")).distinct().withColumn("_taken", F.lit(True))
+    """Sessions under their id if it is free, else under a new one, with where they come from; local fields go.
+
+    New ids are numbered on from those that exist, so a session may be imported any number of times,
+    and given twice at once: its first copy then takes the id if that is free.
+    """
     own = F.col("session").cast("string")
     origin = [own.alias("session")] if collection is None else [own.alias("session"), (F.lit(collection) if isinstance(collection, str) else collection).alias("collection")]
-    out = sessions.drop(*LOCAL_FIELDS).withColumn("imported_from", F.struct(*origin)).withColumn("session", own).join(taken, "session", "left")
-    fresh = F.concat(F.lit("imported-"), F.substring(F.sha2(F.col("session"), 256), 1, 8))
-    return out.withColumn("session", F.when(F.col("_taken"), fresh).otherwise(F.col("session"))).drop("_taken")
+    here = existing.select(own.alias("session")).distinct()
+    rows = sessions.drop(*LOCAL_FIELDS).withColumn("imported_from", F.struct(*origin)).withColumn("session", own)
+    rows = rows.join(here.withColumn("_taken", F.lit(True)), "session", "left")
+    base = F.concat(F.lit("imported-"), F.substring(F.sha2(F.col("session"), 256), 1, 32))
+    pattern = r"^(imported-[0-9a-f]{32})-(\d{1,9})$"
+    # Ids of this form that exist, or that come in under their own name, are numbered on from.
+    used = here.union(rows.select("session")).where(F.col("session").rlike(pattern))
+    most = used.groupBy(F.regexp_extract("session", pattern, 1).alias("_base")).agg(F.max(F.regexp_extract("session", pattern, 2).cast("long")).alias("_most"))
+    copy = F.row_number().over(W.partitionBy("session").orderBy(F.lit(1)))
+    rows = rows.withColumn("_copy", copy).withColumn("_base", base).join(most, "_base", "left")
+    free = F.col("_taken").isNull() & (F.col("_copy") == 1)
+    fresh = F.concat("_base", F.lit("-"), (F.coalesce("_most", F.lit(0)) + F.col("_copy")).cast("string"))
+    return rows.withColumn("session", F.when(free, F.col("session")).otherwise(fresh)).drop("_taken", "_copy", "_base", "_most")

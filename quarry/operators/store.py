@@ -83,7 +83,9 @@ def undo_version(current: DataFrame, name: str, created_at: Column) -> DataFrame
 
 
 def digests(chunks: DataFrame, properties: list[str]) -> DataFrame:
-    return chunks.select("id", property_digest(*properties).alias("props"), vector_digest(F.col("vector")).alias("vec"))
+    """id, props, vec: digests of each chunk's properties and vector; an invalid vector is an error."""
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in properties}
+    return chunks.select("id", property_digest(kinds).alias("props"), vector_digest(F.col("vector")).alias("vec"))
 
 
 def verify_chunks(expected: DataFrame, stored: DataFrame, exact: bool = True) -> DataFrame:

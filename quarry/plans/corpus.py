@@ -67,10 +67,11 @@ def chunk_source_integrity(s, d):
     return S.chunk_source_integrity(linked, sources(s, d).where("size > 1000")).select("source_sha256", "source_file", "doc_id", "chunk_index")
 
 
-@query(f"WITH {LINKED} SELECT doc_id % 10 AS collection, count(*)::BIGINT AS chunk_count, count(DISTINCT source_sha256)::BIGINT AS source_documents, sum((source_sha256 IS NULL)::INT)::BIGINT AS unresolved, CASE WHEN sum((source_sha256 IS NULL)::INT) = 0 THEN 'with-sources' ELSE 'chunks-only' END AS fidelity FROM linked GROUP BY 1")
+@query(f"WITH {LINKED} SELECT doc_id % 10 AS collection, count(*)::BIGINT AS chunk_count, max(CASE WHEN embedding IS NULL THEN -1 ELSE len(embedding) END)::INT AS dimensions, count(DISTINCT source_sha256)::BIGINT AS source_documents, sum((source_sha256 IS NULL)::INT)::BIGINT AS unresolved, CASE WHEN sum((source_sha256 IS NULL)::INT) = 0 THEN 'with-sources' ELSE 'chunks-only' END AS fidelity FROM linked LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1")
 def package_manifest(s, d):
-    linked = S.link_chunks_to_sources(stored(s, d), sources(s, d)).select((F.col("doc_id") % 10).alias("collection"), F.array().cast("array<float>").alias("vector"), "source_sha256")
-    return M.package_manifest(linked, "collection").drop("dimensions")
+    held = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    linked = S.link_chunks_to_sources(stored(s, d), sources(s, d)).join(held, "doc_id", "left").select((F.col("doc_id") % 10).alias("collection"), "vector", "source_sha256")
+    return M.package_manifest(linked, "collection")
 
 
 @query(f"WITH {STORED} SELECT source_file, count(*) = count(DISTINCT chunk_index) AND min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AS complete FROM stored GROUP BY 1")
@@ -160,12 +161,13 @@ def valid_vectors(s, d):
 
 
 def vectors(s, d):
+    """Every vector whose id is divisible by 50 asks all vectors."""
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.where("id < 5").select(F.col("id").alias("query_id"), "vector"), e
+    return e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), e
 
 
-def _near(metric: str, score: str) -> str:
-    return f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {score} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 5), r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p) SELECT query_id, id, score, rank FROM r WHERE rank <= 10"""
+def _near(score: str) -> str:
+    return f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {score} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p) SELECT query_id, id, score, rank FROM r WHERE rank <= 10"""
 
 
 def _nearest(s, d, metric):
@@ -173,55 +175,29 @@ def _nearest(s, d, metric):
     return R.near_vector(q, e, 10, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_near("cosine", "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"))
+@query(_near("list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"))
 def near_vector_cosine(s, d):
     return _nearest(s, d, "cosine")
 
 
-@query(_near("dot", "list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"))
+@query(_near("list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"))
 def near_vector_dot(s, d):
     return _nearest(s, d, "dot")
 
 
-@query(_near("l2", "1 / (1 + list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ** 2)"))
+@query(_near("1 / (1 + list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) ** 2)"))
 def near_vector_l2(s, d):
     return _nearest(s, d, "l2-squared")
 
 
-def each_50th(s, d):
-    """The whole job: every vector whose id is divisible by 50 asks all vectors."""
-    _, e = vectors(s, d)
-    return e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), e
-
-
-def _nearest_50th(s, d, metric):
-    q, e = each_50th(s, d)
-    return R.near_vector(q, e, 10, metric).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-def _near_50th(name: str) -> str:
-    """The SQL of the five-query search, asked with every 50th id instead."""
-    return ORACLE_SQL[name].replace("q.vec_id < 5", "q.vec_id % 50 = 0")
-
-
-@query(_near_50th("near_vector_cosine"))
-def near_vector_cosine_50th(s, d):
-    return _nearest_50th(s, d, "cosine")
-
-
-@query(_near_50th("near_vector_dot"))
-def near_vector_dot_50th(s, d):
-    return _nearest_50th(s, d, "dot")
-
-
-@query(_near_50th("near_vector_l2"))
-def near_vector_l2_50th(s, d):
-    return _nearest_50th(s, d, "l2-squared")
+# Names of the whole searches from when the plain ones asked with a few ids only.
+for _name in ("cosine", "dot", "l2"):
+    QUERIES[f"near_vector_{_name}_50th"], ORACLE_SQL[f"near_vector_{_name}_50th"] = QUERIES[f"near_vector_{_name}"], ORACLE_SQL[f"near_vector_{_name}"]
 
 
 @query()
 def near_vector_approx(s, d):
-    q, e = each_50th(s, d)
+    q, e = vectors(s, d)
     return R.near_vector_approx(q, e, 10)
 
 
@@ -320,11 +296,12 @@ def eval_set(s, d):
     return G.eval_set(pairs(s, d).withColumn("contexts", F.array("question")).withColumn("ground_truth", F.col("answer"))).drop("contexts")
 
 
-@query("SELECT doc_id AS session, lang AS collection, lang IN ('en', 'De') OR lang IN ('En', 'de') AS stale, CASE WHEN lang IN ('en', 'de') THEN 'rebuilt' END AS reason FROM documents")
+#: Every fifth session was stale before, for a reason of its own.
+@query("""SELECT doc_id AS session, lang AS collection, lang IN ('en', 'de') OR doc_id % 5 = 0 AS stale, CASE WHEN lang IN ('en', 'de') THEN 'rebuilt' WHEN doc_id % 5 = 0 THEN 'old' END AS stale_reason FROM documents""")
 def flag_sessions(s, d):
-    sessions = table(s, d, "documents").select(F.col("doc_id").alias("session"), F.col("lang").alias("collection"))
+    sessions = table(s, d, "documents").select(F.col("doc_id").alias("session"), F.col("lang").alias("collection"), (F.col("doc_id") % 5 == 0).alias("stale"), F.when(F.col("doc_id") % 5 == 0, "old").alias("stale_reason"))
     named = sessions.where("collection in ('en', 'de')").select(T.canonical_name(F.col("collection")).alias("collection")).distinct()
-    return G.flag_sessions(sessions, named, "stale", "rebuilt").select("session", "collection", "stale", "reason")
+    return G.flag_sessions(sessions, named, "stale", "rebuilt").select("session", "collection", "stale", "stale_reason")
 
 
 @query("SELECT o_orderkey AS package FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate + INTERVAL 720 HOUR <= TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -349,28 +326,67 @@ def import_target(s, d):
     return M.import_target(p.select("collection"), p.where("n > 1").select("collection"), "rename")
 
 
-@query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events")
+#: Objects of every shape: nested, numbers as written, scalar and mixed arrays, empty containers, literals.
+@query("""SELECT event_id, CASE event_id % 4
+WHEN 0 THEN 'k: ' || json_extract_string(props, '$.k')
+WHEN 1 THEN 'a.b: 1.50' || chr(10) || 'a.id: ' || event_id || chr(10) || 'l: 1e3, x, true, null'
+WHEN 2 THEN 'm[0].n: ' || user_id || chr(10) || 'm[1]: y' END AS text FROM events""")
 def flatten_json(s, d):
-    return table(s, d, "events").select("event_id", IO.flatten_json(F.col("props")).alias("text"))
-
-
-@query("SELECT event_id, (1 + i)::BIGINT AS ordinal, CASE WHEN i = 0 THEN props ELSE '{\"n\":' || event_id || '}' END AS record FROM events, unnest([0, 1]) t(i)")
+    e, n = F.col("event_id").cast("string"), F.col("event_id") % 4
+    made = (
+        F.when(n == 0, F.col("props"))
+        .when(n == 1, F.concat(F.lit('{"a": {"b": 1.50, "id": '), e, F.lit('}, "l": [1e3, "x", true, null], "e": {}, "f": []}')))
+        .when(n == 2, F.concat(F.lit('{"m": [{"n": '), F.col("user_id").cast("string"), F.lit('}, "y"]}')))
+        .otherwise(F.concat(F.lit('{"n": NaN, "id": '), e, F.lit("}")))
+    )
+    return table(s, d, "events").select("event_id", IO.flatten_json(made).alias("text"))
+
+
+#: Arrays of records with numbers as written and items without text, scalar arrays, single objects, and what is no JSON.
+@query("""WITH r AS (
+SELECT event_id, 1 AS ordinal, props AS record FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 3, '{"v":1.50,"k":1e3, "id":' || event_id || '}' FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT event_id, 1, '[1, ' || event_id || ', "x"]' FROM events WHERE event_id % 4 = 1
+UNION ALL SELECT event_id, 1, '{"a": [], "b": "' || event_id || '"}' FROM events WHERE event_id % 4 = 2)
+SELECT event_id, ordinal::BIGINT AS ordinal, record FROM r""")
 def json_records(s, d):
-    e = table(s, d, "events").select("event_id", F.concat(F.lit("["), F.col("props"), F.lit(',{"n":'), F.col("event_id").cast("string"), F.lit("}]")).alias("text"))
-    return IO.json_records(e).select("event_id", F.col("ordinal").cast("long").alias("ordinal"), F.when(F.col("ordinal") == 1, F.regexp_replace("record", r'^\{"k":(\d+)\}$', '{"k": $1}')).otherwise(F.col("record")).alias("record"))
-
-
-@query("WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, event_id % 97 = 5 AS bad FROM events) SELECT user_id::VARCHAR AS source_file, min(line)::BIGINT AS line, 'invalid JSON' AS reason FROM l WHERE bad GROUP BY 1")
+    e, n = F.col("event_id").cast("string"), F.col("event_id") % 4
+    made = (
+        F.when(n == 0, F.concat(F.lit("[ "), F.col("props"), F.lit(' ,{}, {"v":1.50,"k":1e3, "id":'), e, F.lit("}]\n")))
+        .when(n == 1, F.concat(F.lit("[1, "), e, F.lit(', "x"]')))
+        .when(n == 2, F.concat(F.lit('{"a": [], "b": "'), e, F.lit('"}')))
+        .otherwise(F.when(F.col("event_id") % 8 == 3, "[]").otherwise(F.concat(F.col("props"), F.lit(","), F.col("props"))))
+    )
+    return IO.json_records(table(s, d, "events").select("event_id", made.alias("text")))
+
+
+#: Two values in a line, a constant outside and inside a string, a blank line, an open object.
+@query("""WITH l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, count(*) OVER (PARTITION BY user_id) AS lines, event_id FROM events),
+b AS (SELECT *, CASE WHEN event_id % 97 = 5 AND event_id % 2 = 0 THEN 'invalid JSON' WHEN event_id % 97 = 5 THEN 'invalid JSON' WHEN event_id % 89 = 7 THEN 'not a number' WHEN event_id % 83 = 2 AND line < lines THEN 'blank line' END AS reason FROM l)
+SELECT user_id::VARCHAR AS source_file, min(line)::BIGINT AS line, arg_min(reason, line) AS reason FROM b WHERE reason IS NOT NULL GROUP BY 1""")
 def jsonl_quality(s, d):
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long")
-    rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("source_file"), n.alias("line"), F.when(F.col("event_id") % 97 == 5, F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("record"))
+    n, e = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long"), F.col("event_id")
+    last = F.max("event_id").over(W.partitionBy("user_id"))
+    made = (
+        F.when((e % 97 == 5) & (e % 2 == 0), F.concat("props", F.lit(","), "props"))
+        .when(e % 97 == 5, F.concat("props", F.lit("}")))
+        .when(e % 89 == 7, F.concat(F.lit('{"v": -Infinity, "p": '), "props", F.lit("}")))
+        .when((e % 83 == 2) & (e < last), F.lit(" \t"))
+        .when(e % 3 == 0, F.lit('{"t": "is NaN here, not Infinity"}'))
+        .otherwise(F.col("props"))
+    )
+    rows = table(s, d, "events").withColumn("_last", last).select(F.col("user_id").cast("string").alias("source_file"), n.alias("line"), made.alias("record"))
     return IO.jsonl_quality(rows)
 
 
-@query("SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.pdf' WHEN 'fr' THEN '.MD' ELSE '.xyz' END AS name, lang IN ('en', 'fr') AS accepted, CASE WHEN lang = 'de' THEN 'unsupported type ''.pdf''' WHEN lang NOT IN ('en', 'fr') THEN 'unsupported type ''.xyz''' END AS reason FROM documents")
+@query("""WITH n AS (SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'de' THEN '.pdf' WHEN 'fr' THEN '.MD' ELSE CASE doc_id % 5 WHEN 0 THEN '.xyz' WHEN 1 THEN '.txt.gz' WHEN 2 THEN '.json.gz' WHEN 3 THEN '.jsonl.gz' ELSE '' END END AS name, doc_id, lang FROM documents)
+SELECT name, lang IN ('en', 'fr') OR (lang <> 'de' AND (doc_id % 5 = 3 OR (doc_id % 5 = 2 AND doc_id % 2 = 0))) AS accepted,
+CASE WHEN lang IN ('en', 'fr') THEN NULL WHEN lang = 'de' THEN 'unsupported type ' || chr(39) || '.pdf' || chr(39) WHEN doc_id % 5 = 0 THEN 'unsupported type ' || chr(39) || '.xyz' || chr(39) WHEN doc_id % 5 = 1 OR (doc_id % 5 = 2 AND doc_id % 2 = 1) THEN 'unsupported type ' || chr(39) || '.gz' || chr(39) WHEN doc_id % 5 = 4 THEN 'unsupported type ' || chr(39) || 'none' || chr(39) END AS reason FROM n""")
 def accepted_and_skipped(s, d):
-    suffix = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "de", ".pdf").when(F.col("lang") == "fr", ".MD").otherwise(".xyz")
-    return IO.accepted_and_skipped(table(s, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("name")))
+    k = F.col("doc_id")
+    odd = F.when(k % 5 == 0, ".xyz").when(k % 5 == 1, ".txt.gz").when(k % 5 == 2, ".json.gz").when(k % 5 == 3, ".jsonl.gz").otherwise("")
+    suffix = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "de", ".pdf").when(F.col("lang") == "fr", ".MD").otherwise(odd)
+    return IO.accepted_and_skipped(table(s, d, "documents").select(F.concat("source", F.lit("/"), k.cast("string"), suffix).alias("name"), (k % 2 == 0).alias("archived")))
 
 
 @query(rf"""WITH {DOCS}, x AS (SELECT source_file, doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS one FROM docs) SELECT source_file, CASE WHEN length(one) > 40 THEN substring(one, 1, 39) || '…' ELSE one END AS label, source_file || ' (part ' || (doc_id % 7 + 1) || ')' AS part, source_file AS base, upper(substring(source_file, 1, 1)) || substring(source_file, 2) AS canonical, 'txt' AS kind FROM x""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import access as X
 from quarry.operators import analytics as A
+from quarry.operators import settings as P
 from quarry.plans.common import registering, table
 from quarry.sources.files import audit_cells
 from quarry.streaming.streams import window_latency as latency_by_window
@@ -169,8 +170,8 @@ def collection_overview(s, d):
     return X.collection_overview(n, grants)
 
 
-@query("""SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 100 < 50 THEN 'chunk_size' END, CASE WHEN s_suppkey % 7 >= s_suppkey % 5 + 3 THEN 'overlap' END) AS violations FROM supplier""")
+@query("""SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 100 < 50 THEN 'chunk_size' END, CASE WHEN s_suppkey % 7 >= s_suppkey % 100 THEN 'overlap' END) AS violations FROM supplier""")
 def validate_settings(s, d):
     k = F.col("s_suppkey")
-    v = F.array_compact(F.array(F.when(~(k % 100).between(50, 6000), "chunk_size"), F.when(k % 7 >= k % 5 + 3, "overlap")))
-    return table(s, d, "supplier").select("s_suppkey", F.array_join(v, ",").alias("violations"))
+    x = table(s, d, "supplier").select("s_suppkey", F.lit("overlap").alias("chunking_strategy"), (k % 100).alias("chunk_size"), (k % 7).alias("chunk_overlap"), F.lit(0).alias("min_chunk_size"), F.lit(0.5).alias("similarity_threshold"))
+    return P.validate_ingest_settings(x).select("s_suppkey", F.array_join("violations", ",").alias("violations"))

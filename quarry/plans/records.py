@@ -122,12 +122,15 @@ def prepared_names(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(T.prepared_names(name, count), "|").alias("names"), T.output_kind(T.source_type(name)).alias("kind"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE l_linenumber % 3 WHEN 0 THEN 'overlap' WHEN 1 THEN 'language' ELSE 'fixed' END AS strategy, (50 + l_partkey % 900)::BIGINT AS size, (l_suppkey % 50)::BIGINT AS ov FROM lineitem)
-SELECT l_orderkey, l_extendedprice, strategy, size, ov AS overlap, CASE strategy WHEN 'overlap' THEN least(size + (least(10000, (10000000 - size) // size + 1) - 1) * (size - ov), 10000000) WHEN 'language' THEN least(10000000, 10000 * (size - ov)) ELSE least(10000000, 10000 * size) END::BIGINT AS most FROM x""")
+#: Found another way: of all numbers of windows, the one that lets a text be longest and has it in its own range.
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CASE l_linenumber % 3 WHEN 0 THEN 'overlap' WHEN 1 THEN 'language' ELSE 'fixed' END AS strategy, (50 + l_partkey % 30 * 200)::BIGINT AS size, (l_suppkey % 10 * 5 + CASE WHEN l_partkey % 30 >= 4 THEN l_suppkey % 2 * 700 ELSE 0 END)::BIGINT AS ov FROM lineitem),
+o AS (SELECT DISTINCT size, ov FROM x WHERE strategy = 'overlap'),
+m AS (SELECT size, ov, max(l) AS most FROM (SELECT size, ov, w, least(size + (w - 1) * (size - ov), 10000000 - (w - 1) * ov) AS l FROM o, range(1, 10001) t(w)) WHERE w = 1 OR l > size + (w - 2) * (size - ov) GROUP BY 1, 2)
+SELECT l_orderkey, l_extendedprice, strategy, size, ov AS overlap, CASE strategy WHEN 'overlap' THEN most WHEN 'language' THEN least(10000000, 10000 * (size - ov)) ELSE least(10000000, 10000 * size) END::BIGINT AS most FROM x LEFT JOIN m USING (size, ov)""")
 def part_limits(s, d):
     m = F.col("l_linenumber") % 3
     strategy = F.when(m == 0, "overlap").when(m == 1, "language").otherwise("fixed")
-    x = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", strategy.alias("strategy"), (50 + F.col("l_partkey") % 900).alias("size"), (F.col("l_suppkey") % 50).alias("overlap"))
+    x = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", strategy.alias("strategy"), (50 + F.col("l_partkey") % 30 * 200).alias("size"), (F.col("l_suppkey") % 10 * 5 + F.when(F.col("l_partkey") % 30 >= 4, F.col("l_suppkey") % 2 * 700).otherwise(0)).alias("overlap"))
     return x.withColumn("most", T.part_limit(F.col("strategy"), F.col("size"), F.col("overlap")))
 
 
@@ -304,10 +307,13 @@ def eval_export(s, d):
     return G.eval_export(p, sessions)
 
 
-@query(f"WITH {corpus.PAIRS}, x AS (SELECT DISTINCT session FROM pairs) SELECT CASE WHEN session % 2 = 0 THEN 'imported-' || substring(sha256(session::VARCHAR), 1, 8) ELSE session::VARCHAR END AS session, session::VARCHAR AS origin, 'Old' AS collection FROM x")
+#: Even sessions exist already; of those divisible by four a copy was imported before, so new ids go on from its number.
+@query(f"WITH {corpus.PAIRS}, x AS (SELECT DISTINCT session FROM pairs) SELECT CASE WHEN session % 2 = 0 THEN 'imported-' || substring(sha256(session::VARCHAR), 1, 32) || CASE WHEN session % 4 = 0 THEN '-2' ELSE '-1' END ELSE session::VARCHAR END AS session, session::VARCHAR AS origin, 'Old' AS collection FROM x")
 def import_sessions(s, d):
     sessions = corpus.pairs(s, d).select("session").distinct().withColumn("owner", F.lit("me"))
-    out = G.import_sessions(sessions, sessions.where("session % 2 = 0"), "Old")
+    known = F.col("session").cast("string")
+    before = sessions.where("session % 4 = 0").select(text_of("imported-", F.substring(F.sha2(known, 256), 1, 32), "-1").alias("session"))
+    out = G.import_sessions(sessions, sessions.where("session % 2 = 0").select(known.alias("session")).union(before), "Old")
     return out.select("session", F.col("imported_from.session").alias("origin"), F.col("imported_from.collection").alias("collection"))
 
 
@@ -324,11 +330,13 @@ def generate_pairs(s, d):
     return G.generate_pairs(sample, answer)
 
 
-@query(f"WITH {corpus.PAIRS} SELECT pair_id, session, CASE WHEN session % 2 = 0 AND session % 3 <> 0 THEN 'Fresh?' ELSE question END AS question, CASE WHEN session % 2 = 0 AND session % 3 <> 0 THEN 'Fresh.' ELSE answer END AS answer, status FROM pairs")
+#: Of sessions divisible by three the question, of those divisible by five the status was edited meanwhile.
+@query(f"""WITH {corpus.PAIRS}, k AS (SELECT *, session % 2 = 0 AND session % 3 <> 0 AND session % 5 <> 0 AS hit FROM pairs)
+SELECT pair_id, session, CASE WHEN hit THEN 'Fresh?' ELSE question END AS question, CASE WHEN hit THEN 'Fresh.' ELSE answer END AS answer, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN 'Fresh.' ELSE 'old truth' END AS ground_truth FROM k""")
 def regenerate_pairs(s, d):
-    p = corpus.pairs(s, d)
+    p = corpus.pairs(s, d).withColumn("ground_truth", F.lit("old truth"))
     fresh = p.where("session % 2 = 0").select("pair_id", F.lit("Fresh?").alias("question"), F.lit("Fresh.").alias("answer"))
-    seen = p.select("pair_id", F.when(F.col("session") % 3 == 0, "changed since").otherwise(F.col("question")).alias("question"))
+    seen = p.withColumn("question", F.when(F.col("session") % 3 == 0, "changed since").otherwise(F.col("question"))).withColumn("status", F.when(F.col("session") % 5 == 0, "was other").otherwise(F.col("status")))
     return G.regenerate_pairs(p, fresh, seen)
 
 

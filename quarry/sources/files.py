@@ -2,54 +2,81 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from quarry.functions.json_text import file_records, flatten_json, line_problem
 from quarry.functions.text import source_type
 from quarry.operators.analytics import csv_cell
 from quarry.operators.maintenance import package_manifest
 
-#: Characters that one flattened JSON record may hold.
-MOST_FLAT = 1 << 30
 SUPPORTED = ["txt", "md", "csv", "json", "jsonl"]
 CHUNK = "id string, vector array<float>, properties struct<content string, source_file string, source_type string, chunk_index int, chunk_strategy string, chunk_size int, chunk_overlap int, created_at string>, source_sha256 string"
 
 
+def file_key(path: str) -> Column:
+    """The name of a row's file: its path under ``path``, or its last part if ``path`` is the file itself.
+
+    Files of one name in two folders stay apart. A file outside ``path`` as it is written (a pattern,
+    say) has its whole path.
+    """
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    root = re.sub(r"^[a-z0-9]+:/+", "/", path, flags=re.IGNORECASE).rstrip("/")
+    at = F.instr(whole, F.lit(root))
+    below = F.regexp_replace(F.substring(whole, at + len(root), F.lit(1 << 30)), "^/", "")
+    return F.when(at == 0, whole).when(below == "", F.substring_index(whole, "/", -1)).otherwise(below)
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """source_file, source_type, text: one row per file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(file_key(path).alias("source_file"), F.col("value").alias("text"))
     return rows.withColumn("source_type", source_type(F.col("source_file")))
 
 
-def read_csv_rows(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """source_file, pos (from 1), cells, header: every later row of each file, with the file's first row as header.
 
-    Quoted line breaks are part of a cell. ``width`` is the most cells of a row, by default those of
-    the first file's first row.
+    Quoted line breaks and doubled quotes are part of a cell; every cell is kept, also empty ones at the
+    end, and rows may have any number. Blank lines are no rows. A file with line breaks in cells
+    cannot be split, so each file is read by one task, its rows one after the other.
     """
-    read = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-    if width is not None:
-        read = read.schema(", ".join(f"_c{i} string" for i in range(width)))
-    raw = read.csv(path, header=False)
-    cells = F.array(*[F.col(c) for c in raw.columns])
-    last = F.array_max(F.transform(cells, lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(0)))
-    rows = raw.select(F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("_at"), F.transform(F.slice(cells, F.lit(1), F.greatest(last, F.lit(1))), lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
-    # A file with quoted line breaks is read by one task, in order; its first row has the least number.
-    first = rows.groupBy("source_file").agg(F.min(F.struct("_at", "cells")).alias("_h")).select("source_file", F.col("_h._at").alias("_first"), F.col("_h.cells").alias("header"))
-    return rows.join(first, "source_file").where("_at > _first").select("source_file", (F.col("_at") - F.col("_first")).alias("pos"), "cells", "header")
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(file_key(path).alias("source_file"), F.col("value").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = (r for r in csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")) if r)
+                header, at = next(rows, None), 1
+                while held := list(islice(rows, 10_000)):
+                    columns = [pa.array([name] * len(held)), pa.array(range(at, at + len(held)), pa.int64()), pa.array(held, pa.list_(pa.string())), pa.array([header] * len(held), pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["source_file", "pos", "cells", "header"])
+                    at += len(held)
+
+    return raw.mapInArrow(run, "source_file string, pos long, cells array<string>, header array<string>")
 
 
 def json_records(df: DataFrame, c: str = "text") -> DataFrame:
-    """``df`` with ordinal and record: the items of a top-level array that holds an object or array, else the value."""
-    items = F.from_json(c, "array<string>")
-    split = F.col(c).rlike(r"^\s*\[") & F.exists(items, lambda x: x.rlike(r"^\s*[\[{]"))
-    return df.select(*[x for x in df.columns if x != c], F.posexplode(F.when(split, items).otherwise(F.array(c))).alias("_p", "record")).withColumn("ordinal", F.col("_p") + 1).drop("_p")
+    """``df`` without ``c``, with ordinal and record: the items of a top-level array that holds an object or array, else the value.
+
+    Records are as they are written in the file; those without text are left out and their ordinals
+    with them. A file that is no JSON or over a limit has none: see ``json_failures``.
+    """
+    others = [x for x in df.columns if x != c]
+    return df.select(*others, F.inline(file_records(c)["items"])).select(*others, "ordinal", "record")
+
+
+def json_failures(df: DataFrame, c: str = "text") -> DataFrame:
+    """``df`` without ``c``, with reason: the files that have no records because something is wrong with them."""
+    return df.select(*[x for x in df.columns if x != c], file_records(c)["problem"].alias("reason")).where("reason is not null")
 
 
 def read_jsonl_records(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +85,7 @@ def read_jsonl_records(spark: SparkSession, path: str) -> DataFrame:
     Large files are read in blocks. Lines are numbered within their block, and each block by the
     lines of the blocks before it.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("record"))
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select(file_key(path).alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("record"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = None, 0
@@ -78,26 +105,33 @@ def read_jsonl_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jsonl_quality(lines: DataFrame, longest: int = 10_000_000, most: int = 1_000_000) -> DataFrame:
-    """source_file, line, reason: the first line that fails each file."""
-    text = F.trim("record")
-    last = lines.where(text != "").groupBy("source_file").agg(F.max("line").alias("_last"))
+    """source_file, line, reason: the first line that fails each file.
+
+    Blank lines at the end are fine. Each line must hold one JSON value, without NaN or Infinity
+    outside strings.
+    """
+    blank = F.col("record").isNull() | F.col("record").rlike("^[ \\t\\r]*$")
+    last = lines.where(~blank & (F.col("line") <= most)).groupBy("source_file").agg(F.max("line").alias("_last"))
     reason = (
-        F.when((text == "") & (F.col("line") < F.col("_last")), "blank line")
-        .when(text == "", None)
+        F.when(F.col("line") > most, "too many lines")
+        .when(blank, F.when(F.col("line") < F.col("_last"), "blank line"))
         .when(F.octet_length("record") > longest, "long line")
-        .when(F.col("line") > most, "too many lines")
-        .when(text.rlike(r"(?<![\w\"])(NaN|-?Infinity)(?![\w\"])"), "not a number")
-        .when(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNull(), "invalid JSON")
+        .otherwise(line_problem("record"))
     )
-    bad = lines.join(last, "source_file").withColumn("reason", reason).where("reason is not null")
+    bad = lines.join(last, "source_file", "left").withColumn("reason", reason).where("reason is not null")
     return bad.groupBy("source_file").agg(F.min(F.struct("line", "reason")).alias("x")).select("source_file", "x.line", "x.reason")
 
 
 def accepted_and_skipped(files: DataFrame) -> DataFrame:
-    """name, accepted, reason by supported type."""
-    kind = source_type(F.col("name"))
-    ok = kind.isin(SUPPORTED)
-    return files.select("name", ok.alias("accepted"), F.when(~ok, F.concat(F.lit("unsupported type '"), F.regexp_extract(F.lower("name"), r"(\.[^./]*)$", 1), F.lit("'"))).alias("reason"))
+    """name, accepted, reason by supported type.
+
+    Gzipped JSON Lines count, gzipped JSON only from an archive (a column ``archived``), nothing else gzipped.
+    """
+    low = F.lower("name")
+    archived = F.coalesce(F.col("archived"), F.lit(False)) if "archived" in files.columns else F.lit(False)
+    ok = source_type(F.col("name")).isin(SUPPORTED) & (~low.endswith(".json.gz") | archived)
+    suffix = F.regexp_extract(F.substring_index(low, "/", -1), r"[^.].*(\.[^./]+)$", 1)
+    return files.select("name", ok.alias("accepted"), F.when(~ok, F.concat(F.lit("unsupported type '"), F.when(suffix == "", "none").otherwise(suffix), F.lit("'"))).alias("reason"))
 
 
 def write_chunk_package(chunks: DataFrame, path: str) -> None:
@@ -132,58 +166,3 @@ def audit_cells(df: DataFrame, columns: list[str], maps: tuple[str, ...] = ()) -
 
 def write_audit_csv(df: DataFrame, path: str, columns: list[str], maps: tuple[str, ...] = ()) -> None:
     audit_cells(df, columns, maps).write.csv(path, header=True)
-
-
-@F.pandas_udf(StringType())
-def _flat(s: pd.Series) -> pd.Series:
-    import json
-
-    def scalar(x) -> str | None:
-        return x if isinstance(x, str) else {None: "null", True: "true", False: "false"}[x] if x is None or isinstance(x, bool) else None
-
-    class Number(str):
-        """A number as it is written."""
-
-    room = [0]
-
-    def put(line: str, out: list[str]) -> None:
-        room[0] -= len(line) + 1
-        if room[0] < 0:
-            raise OverflowError(f"a JSON record flattens to more than {MOST_FLAT} characters")
-        out.append(line)
-
-    def walk(x, path: str, out: list[str]) -> None:
-        if isinstance(x, dict):
-            for k, v in x.items():
-                walk(v, f"{path}.{k}" if path else k, out)
-        elif isinstance(x, list):
-            if any(isinstance(v, (dict, list)) for v in x):
-                for i, v in enumerate(x):
-                    walk(v, f"{path}[{i}]", out)
-            elif x:
-                put(f"{path}: {', '.join(str(scalar(v)) for v in x)}", out)
-        else:
-            put(f"{path}: {scalar(x)}" if path else str(scalar(x)), out)
-
-    def flat(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            value = json.loads(text, parse_int=Number, parse_float=Number)
-        except ValueError:
-            return None
-        out: list[str] = []
-        room[0] = MOST_FLAT
-        walk(value, "", out)
-        return "\n".join(out)
-
-    return s.map(flat)
-
-
-def flatten_json(c: Column) -> Column:
-    """``path: value`` lines in file order, numbers as written; null where it is no JSON.
-
-    A record whose lines would hold more than MOST_FLAT characters stops the job: long keys over many
-    values can make a small file very large.
-    """
-    return _flat(c)

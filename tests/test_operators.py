@@ -79,7 +79,7 @@ def test_exact_search_asks_with_every_50th_id(spark, metric):
     score = {"cosine": lambda x: u @ x, "dot": lambda x: u @ x, "l2": lambda x: 1 / (1 + ((u - x) ** 2).sum(1))}[metric]
     want = {int(i): np.sort(score(x))[::-1][:10] for i, x in zip(ids, u, strict=True) if i % 50 == 0}
     got = {}
-    for r in getattr(corpus, f"near_vector_{metric}_50th")(spark, d).orderBy("query_id", "rank").collect():
+    for r in getattr(corpus, f"near_vector_{metric}")(spark, d).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.score)
     assert set(got) == set(want) and len(want) == 40
     assert all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
