@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.folds import Anchored, numbered
+from quarry.operators.quantiles import SMALL, percentiles
 
 # Upper bounds of the duration histogram in seconds, and cells that a spreadsheet takes for formulas.
 BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300]
@@ -25,14 +26,15 @@ def filter_audit(df: DataFrame, since=None, until=None, **exact: str) -> DataFra
     return out
 
 
-def latency_summary(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Per group: p50, p95, p99 (exact, interpolated), mean and count of each column, rounded half-even."""
-    aggs = [F.count("*").alias("n")]
-    for c in columns:
-        for p in (50, 95, 99):
-            aggs.append(F.bround(F.coalesce(F.percentile(c, F.lit(p / 100)), F.lit(0.0)), 1).alias(f"{c}_p{p}"))
-        aggs.append(F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 1).alias(f"{c}_mean"))
-    return metrics.groupBy(*by).agg(*aggs)
+def latency_summary(metrics: DataFrame, by: list[str], columns: list[str], small: int = SMALL) -> DataFrame:
+    """Per group: count, and p50, p95, p99 (exact, interpolated) and mean of each column, rounded half-even; zeros without values.
+
+    A group's values are sorted by one task only up to ``small`` rows; larger groups are narrowed down by counts.
+    """
+    more = [F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns]]
+    found = percentiles(metrics, by, columns, [0.5, 0.95, 0.99], more, small)
+    told = [F.bround(F.coalesce(n, F.lit(0.0)), 1).alias(n) for c in columns for n in (f"{c}_p50", f"{c}_p95", f"{c}_p99", f"{c}_mean")]
+    return found.select(*by, "n", *told)
 
 
 def ingest_counters(events: DataFrame, job: str, flags: dict[str, Column]) -> DataFrame:
