@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.functions.text import base_of, in_family, property_digest, vector_digest
+from quarry.operators.written import written
 
 
 def index_sources(files: DataFrame) -> DataFrame:
@@ -88,10 +87,41 @@ def digests(chunks: DataFrame, properties: list[str]) -> DataFrame:
     return chunks.select("id", property_digest(kinds).alias("props"), vector_digest(F.col("vector")).alias("vec"))
 
 
+#: Buckets by which tables are compared.
+BUCKETS = 4096
+
+
+def row_text(df: DataFrame) -> Column:
+    """A row as text in which nulls, also within arrays, and types of different width show."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+
+
+def differing(left: DataFrame, right: DataFrame, bucket: Column) -> DataFrame:
+    """_b: buckets in which the two tables don't hold the same rows equally often.
+
+    A bucket's digest is the number of its rows and the sums of two hashes of each, so it depends on
+    no order, and repeated rows count. One aggregate a side, of which a few thousand rows are shuffled.
+    """
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        text = row_text(df)
+        rows = df.select(bucket.alias("_b"), F.xxhash64(text).cast("decimal(20,0)").alias("_x"), F.xxhash64(F.concat(F.lit("#"), text)).cast("decimal(20,0)").alias("_y"))
+        return rows.groupBy("_b").agg(F.count("*").alias(f"{side}_n"), F.sum("_x").alias(f"{side}_x"), F.sum("_y").alias(f"{side}_y"))
+
+    both = digest(left, "l").join(digest(right, "r"), "_b", "full_outer")
+    same = F.col("l_n").eqNullSafe(F.col("r_n")) & F.col("l_x").eqNullSafe(F.col("r_x")) & F.col("l_y").eqNullSafe(F.col("r_y"))
+    return F.broadcast(both.where(~same).select("_b"))  # at most BUCKETS rows
+
+
 def verify_chunks(expected: DataFrame, stored: DataFrame, exact: bool = True) -> DataFrame:
-    """id, problem: missing, unexpected, duplicate, property or vector differs; inputs: id, props, vec."""
-    e = expected.select("id", F.col("props").alias("p1"), F.col("vec").alias("v1"))
-    s = stored.groupBy("id").agg(F.count("*").alias("n"), F.first("props").alias("p2"), F.first("vec").alias("v2"))
+    """id, problem: missing, unexpected, duplicate, property or vector differs; inputs: id, props, vec.
+
+    Buckets of ids are compared by digests first; only the rows of those that differ are joined.
+    """
+    columns, bucket = ["id", "props", "vec"], F.pmod(F.xxhash64("id"), F.lit(BUCKETS))
+    wrong = differing(expected.select(*columns), stored.select(*columns), bucket)
+    e, s = (x.select(*columns).withColumn("_b", bucket).join(wrong, "_b", "left_semi").drop("_b") for x in (expected, stored))
+    e = e.select("id", F.col("props").alias("p1"), F.col("vec").alias("v1"))
+    s = s.groupBy("id").agg(F.count("*").alias("n"), F.first("props").alias("p2"), F.first("vec").alias("v2"))
     both = e.withColumn("_e", F.lit(1)).join(s, "id", "full_outer")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected" if exact else None).when(F.col("n") > 1, "duplicate").when(F.col("p1") != F.col("p2"), "property").when(F.col("v1") != F.col("v2"), "vector")
     return both.select("id", problem.alias("problem")).where("problem is not null")
@@ -105,8 +135,18 @@ def verify_digests(manifest: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def verify_rebuild(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that only one side has; none if the rebuild kept everything."""
-    return before.exceptAll(after).withColumn("side", F.lit("before")).unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
+    """Rows that only one side has, as often as it has them more; none if the rebuild kept everything.
+
+    Equal tables cost one aggregate a side; rows are compared only in buckets whose digests differ.
+    """
+    after = after.select(*before.columns)
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_b", F.pmod(F.xxhash64(row_text(df)), F.lit(BUCKETS)))
+
+    wrong = differing(bucketed(before), bucketed(after), F.col("_b"))
+    b, a = (bucketed(x).join(wrong, "_b", "left_semi").drop("_b") for x in (before, after))
+    return b.exceptAll(a).withColumn("side", F.lit("before")).unionByName(a.exceptAll(b).withColumn("side", F.lit("after")))
 
 
 def valid_vectors(df: DataFrame, dims: int, vector: str = "vector") -> DataFrame:
@@ -151,14 +191,15 @@ def write_chunks(chunks: DataFrame, path: str, expected: int | None = None, name
 
     A version holds new chunks and the names (source_file) they replace, by default their own names;
     what it replaces is left out when read. Nothing that was written before is touched, so a failure
-    at any point leaves the table as it was. Chunks are verified by number, properties and, with a
-    column ``vector``, vectors. A ``batch`` that was committed before is not written again.
+    at any point leaves the table as it was. Chunks are computed once and kept in the checkpoint folder; what is read
+    back is compared with them by digests. A ``batch`` that was committed before is not written again.
     """
     spark = chunks.sparkSession
     before = versions(spark, path)
     if batch is not None and (old := before.where(F.col("batch") == batch).agg(F.max("version")).first()[0]) is not None:
         return old
     number = before.agg(F.coalesce(F.max("version"), F.lit(-1)) + 1).first()[0]
+    chunks = written(chunks)  # a model among its steps is asked once
     own = (names if names is not None else chunks).select("source_file").distinct()
     at = f"{path}/version={number}"
     chunks.write.mode("overwrite").parquet(at)
@@ -179,10 +220,13 @@ def read_chunks(spark: SparkSession, path: str, schema: StructType, version: int
     numbers = [n for n in found if version is None or n <= version]
     if not numbers:
         return spark.createDataFrame([], schema)
-    rows = [spark.read.schema(schema).parquet(f"{path}/version={n}").withColumn("_version", F.lit(n)) for n in numbers]
-    named = [spark.read.schema("source_file string").parquet(f"{path}/names/version={n}").withColumn("_last", F.lit(n)) for n in numbers]
-    last = reduce(DataFrame.unionByName, named).groupBy(F.col("source_file").alias("_name")).agg(F.max("_last").alias("_last"))
-    every = reduce(DataFrame.unionByName, rows)
+    # Version is a partition of both tables, so that any number of versions is one scan of each.
+    def scan(at: str, fields: StructType) -> DataFrame:
+        paths = [f"{at}/version={n}" for n in numbers]
+        return spark.read.schema(StructType([*fields.fields]).add("version", "long")).option("basePath", at).parquet(*paths)
+
+    every = scan(path, schema).withColumnRenamed("version", "_version")
+    last = scan(f"{path}/names", StructType().add("source_file", "string")).groupBy(F.col("source_file").alias("_name")).agg(F.max("version").alias("_last"))
     own = every.join(last, F.col("source_file") == F.col("_name"), "left").drop("_name").withColumnRenamed("_last", "_own")
     base = F.when(base_of(F.col("source_file")) != F.col("source_file"), base_of(F.col("source_file")))
     both = own.withColumn("_base", base).join(last.withColumnRenamed("_name", "_base"), "_base", "left")
