@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarry.operators.chunking import chunk_documents
 from quarry.operators.quantiles import SMALL, percentiles
@@ -28,34 +29,74 @@ def window_latency(metrics: DataFrame, minutes: int = 1, small: int = SMALL) ->
     return found.select("start", "mode", "n", F.bround("mean", 6).alias("mean"), F.bround("value_p95", 6).alias("p95"))
 
 
-def stream_failed_logins(events: DataFrame, seconds: int = 60, late: str = "1 minute") -> DataFrame:
-    """key, first, count, last (seconds): a record per anchored window once event time has passed it.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Rows older than the watermark are dropped by Spark.
-    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        first, count, last = state.get if state.exists else (None, 0, None)
-        times = sorted(t for g in frames for t in g["ts"].astype("int64") // 10**9) if not state.hasTimedOut else []
-        for t in times:
-            if first is not None and t < first + seconds:
-                count, last = count + 1, t
+class FailedLogins(StatefulProcessor):
+    """Anchored windows of one key: times wait, counted per second, until the watermark says that no earlier one can come."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "second long", "times long")
+        self.open = handle.getValueState("open", "first long, count long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        counts: dict[int, int] = {}
+        for g in rows:
+            for t, n in (g["ts"].astype("datetime64[us]").astype("int64") // 10**6).value_counts().items():
+                counts[int(t)] = counts.get(int(t), 0) + int(n)
+        for t, n in counts.items():
+            had = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else (0,)
+            self.waiting.updateValue((t,), (had[0] + n,))
+        if counts:
+            self.handle.registerTimer((min(counts) + 1) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, done = timerValues.getCurrentWatermarkInMs(), []
+        held = {k[0]: v[0] for k, v in self.waiting.iterator()}
+        window = self.open.get() if self.open.exists() else None
+        for t in sorted(t for t in held if (t + 1) * 1000 <= now):
+            if window is not None and t < window[0] + self.seconds:
+                window = (window[0], window[1] + held[t], t)
             else:
-                if first is not None:
-                    out.append((key[0], first, count, last))
-                first, count, last = int(t), 0, int(t)
-        if state.hasTimedOut:
-            out.append((key[0], first, count, last))
-            state.remove()
+                if window is not None:
+                    done.append(window)
+                window = (t, held[t] - 1, t)
+            self.waiting.removeKey((t,))
+            del held[t]
+        if window is not None and (window[0] + self.seconds + 1) * 1000 <= now:
+            done.append(window)
+            window = None
+        if window is None:
+            self.open.clear()
         else:
-            state.update((first, count, int(last)))
-            state.setTimeoutTimestamp(max((first + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "first", "count", "last"])
+            self.open.update(window)
+            self.handle.registerTimer((window[0] + self.seconds + 1) * 1000)
+        if held:
+            self.handle.registerTimer((min(held) + 1) * 1000)
+        if done:
+            yield pd.DataFrame([(key[0], f, n, last) for f, n, last in done], columns=["key", "first", "count", "last"]).astype({"first": "int64", "count": "int32", "last": "int64"})
 
+    def close(self) -> None:
+        pass
+
+
+def stream_failed_logins(events: DataFrame, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+    """key, first, count, last (seconds): a record per anchored window once event time has passed it.
+
+    The rows are those of ``collapse_failed_logins`` over all input that is not later than ``late``,
+    whatever its order; later rows are dropped by Spark. A window is also told where its key has no
+    new rows, as soon as others move the watermark on. State is typed and lies in RocksDB, which this
+    sets for the session's new streams.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = events.schema["key"].dataType.simpleString()
     rows = events.select("key", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, first long, count int, last long", "first long, count int, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("key").transformWithStateInPandas(FailedLogins(seconds), f"key {kind}, first long, count int, last long", "Append", "EventTime")
 
 
 def stream_ingest(arriving: DataFrame, table_path: str, checkpoint: str, size: int = 1000, overlap: int = 200, strategy: str = "overlap"):
