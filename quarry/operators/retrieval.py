@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -190,36 +190,92 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top_k(keyword_scores(queries, chunks), k)
 
 
+def scored_block(q: pd.DataFrame, x: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """query_id, id, score, low, high: the k best of a block of chunks for each query, and the ends of all its scores.
+
+    ``q``: query_id, vector, of; ``x``: id, vector, of. Only pairs of equal width and equal ``of`` are scored; vectors that hold
+    anything but finite numbers, and by cosine those of length zero, have no score.
+    """
+    out: list[pd.DataFrame] = []
+    asked, held = ([None if v is None else np.asarray(v, dtype=np.float64) for v in side["vector"]] for side in (q, x))
+    sizes = [np.array([-1 if v is None or not len(v) or not np.isfinite(v).all() else len(v) for v in side]) for side in (asked, held)]
+    for width in set(sizes[0].tolist()) & set(sizes[1].tolist()) - {-1}:
+        rows, columns = (np.flatnonzero(s == width) for s in sizes)
+        a, b = np.stack([asked[i] for i in rows]), np.stack([held[i] for i in columns])
+        ids, owners = x["id"].to_numpy()[columns], x["of"].to_numpy()[columns]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if metric == "cosine":
+                s = (a @ b.T) / np.sqrt((a * a).sum(1))[:, None] / np.sqrt((b * b).sum(1))
+            else:
+                s = a @ b.T if metric == "dot" else 1 / (1 + ((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)).clip(0))
+        for i, own, line in zip(q["query_id"].to_numpy()[rows], q["of"].to_numpy()[rows], s, strict=True):
+            fine = np.flatnonzero(np.isfinite(line) & (owners == own))
+            if len(fine):
+                best = fine[np.lexsort((ids[fine], -line[fine]))[:k]]
+                out.append(pd.DataFrame({"query_id": i, "id": ids[best], "score": line[best], "low": line[fine].min(), "high": line[fine].max()}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "low": [], "high": []}).astype({"query_id": q["query_id"].dtype, "id": x["id"].dtype})
+
+
+def best_and_ends(queries: DataFrame, chunks: DataFrame, k: int, metric: str, by: list[str]) -> DataFrame:
+    """query_id, id, score, low, high of every block of chunks: all pairs are scored, each once, by matrix products.
+
+    Few queries (checked by their bytes) travel to the chunks; more meet them on a grid of blocks.
+    """
+    of = F.col(by[0]).cast("string") if by else F.lit("")
+    q = queries.select("query_id", "vector", F.coalesce(of, F.lit("\0")).alias("of"))
+    c = chunks.select("id", "vector", F.coalesce(of, F.lit("\1")).alias("of"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, score double, low double, high double"
+    n, width = q.agg(F.count("*"), F.max(F.greatest(F.size("vector"), F.lit(0)))).first()
+    blocks = max(1, -(-n * (8 * (width or 0) + 64) // MOST_BYTES))
+    if blocks == 1:
+        told = q.toPandas()  # at most MOST_BYTES
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                yield scored_block(told, x, k, metric)
+
+        return written(c.mapInPandas(near, schema))
+    spread = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    c = c.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(spread))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return written(q.groupBy("_b", "_c").cogroup(c.groupBy("_b", "_c")).applyInPandas(lambda x, y: scored_block(x, y, k, metric), schema))
+
+
 def hybrid(queries: DataFrame, chunks: DataFrame, alpha: float | Column, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, id, score, rank: both scores min-max scaled over all chunks of a query and mixed.
 
     ``alpha`` is the share of the vectors' score, the rest that of the keywords'; a chunk without an
     asked term has no keyword score. ``queries``: query_id, question, vector; ``chunks``: id, content,
-    vector; with ``collection`` on both sides questions meet their own collection. The result is exact:
-    a chunk among the k best either holds an asked term or is among the k best by vector.
+    vector; with ``collection`` on both sides questions meet their own collection. The result is exact,
+    by the threshold algorithm over two lists: the k best by vector are mixed first, and of the list by
+    keyword only those chunks are looked up whose keyword score could still lift them above the k-th
+    mixed score even if their vector were the best.
     """
     by = ["collection"] if "collection" in queries.columns and "collection" in chunks.columns else []
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    asked = queries.select("query_id", "vector", *[F.col(c).alias("_of") for c in by])
-    pairs = score_pairs(asked, chunks.select("id", "vector", *by), metric)
-    pairs = pairs.where(F.col("_of") == F.col("collection")) if by else pairs
-    near = pairs.select("query_id", "id", "score").where("score is not null")
-    ends = near.groupBy("query_id").agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
-    words = keyword_scores(queries.drop("vector"), chunks.drop("vector"))
+    near = best_and_ends(queries, chunks, k, metric, by)
+    ends = near.groupBy("query_id").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    best = top_k(near.select("query_id", "id", "score"), k).select("query_id", "id", F.col("score").alias("v"))
+    words = written(keyword_scores(queries.drop("vector"), chunks.drop("vector")))
     b_ends = words.groupBy("query_id").agg(F.min("score").alias("_blow"), F.max("score").alias("_bhigh"))
-    d = distance(F.col("_q"), F.col("vector"), metric)
-    held = words.join(chunks.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").select("query_id", "id", score(d, metric).alias("v"), F.col("score").alias("b"))
-    best = top_k(near, k).select("query_id", "id", F.col("score").alias("v"))
-    rest = best.join(words.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("b", F.lit(None).cast("double"))
-    every = held.unionByName(rest).join(ends, "query_id", "left").join(b_ends, "query_id", "left")
+    told = queries.select("query_id", *[c for c in ("_alpha",) if c in queries.columns]).join(ends, "query_id", "left").join(b_ends, "query_id", "left")
+    told = few(told.withColumn("_share", alpha))
 
     def scaled(value: str, low: str, high: str) -> Column:
         return F.when(F.col(value).isNull(), 0.0).when(F.col(high) > F.col(low), (F.col(value) - F.col(low)) / (F.col(high) - F.col(low))).otherwise(1.0)
 
-    if "_alpha" in queries.columns:
-        every = every.join(queries.select("query_id", "_alpha"), "query_id")
-    mixed = alpha * scaled("v", "_low", "_high") + (1 - alpha) * scaled("b", "_blow", "_bhigh")
-    return top_k(every.select("query_id", "id", F.round(mixed, 9).alias("score")), k)
+    share = F.col("_share")
+    mixed = share * scaled("v", "_low", "_high") + (1 - share) * scaled("b", "_blow", "_bhigh")
+    keyed = words.select("query_id", "id", F.col("score").alias("b"))
+    first = best.join(keyed, ["query_id", "id"], "left").join(told, "query_id").select("query_id", "id", F.round(mixed, 9).alias("score"))
+    first = written(first)
+    kth = top_k(first, k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_kth")).where(F.col("_n") >= k).select("query_id", "_kth")
+    most = share + (1 - share) * scaled("b", "_blow", "_bhigh")
+    open_ = keyed.join(told, "query_id").join(few(kth), "query_id", "left").where(F.col("_kth").isNull() | (most >= F.col("_kth") - 1e-8))
+    open_ = open_.join(best.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    looked = open_.join(chunks.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+    rest = looked.withColumn("v", F.nanvl(score(distance(F.col("_q"), F.col("vector"), metric), metric), F.lit(None).cast("double"))).select("query_id", "id", F.round(mixed, 9).alias("score"))
+    return top_k(first.unionByName(rest), k)
 
 
 def near_text(questions: DataFrame, chunks: DataFrame, k: int, embed: Callable[[Column], Column]) -> DataFrame:

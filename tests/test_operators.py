@@ -125,6 +125,29 @@ def test_approximate_search_of_clusters_and_copies(spark):
     assert same.exceptAll(R.candidate_pairs(asked, useful, block=64, **own).select("query_id", "id").distinct()).count() == 0
 
 
+@pytest.mark.parametrize("alpha", [0.0, 0.3, 1.0])
+def test_hybrid_on_a_grid_of_blocks(spark, monkeypatch, alpha):
+    """Few queries at the chunks, or both dealt in blocks: the rows that all pairs and all hits give."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    chunks = [(i, " ".join(rng.choice(words, 6)), rng.standard_normal(5).tolist() if i % 9 else [0.0] * 5) for i in range(300)]
+    asked = [(i, " ".join(rng.choice(words, 4)), rng.standard_normal(5).tolist()) for i in range(12)]
+    c = spark.createDataFrame(chunks, "id long, content string, vector array<double>")
+    q = spark.createDataFrame(asked, "query_id long, question string, vector array<double>")
+    keys = {(r.query_id, r.id): r.score for r in R.keyword_scores(q.drop("vector"), c.drop("vector")).collect()}
+    want = []
+    for i, _, v in asked:
+        near = {j: float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)) for j, _, x in chunks if any(x)}
+        own = {j: keys[i, j] for j, _, _ in chunks if (i, j) in keys}
+        low, high, blow, bhigh = min(near.values()), max(near.values()), min(own.values()), max(own.values())
+        mixed = {j: alpha * ((near[j] - low) / (high - low) if j in near else 0) + (1 - alpha) * ((own[j] - blow) / (bhigh - blow) if j in own else 0) for j in near.keys() | own.keys()}
+        want += [(i, round(s, 6)) for s in sorted(mixed.values(), reverse=True)[:7]]
+    for most in (R.MOST_BYTES, 200):
+        monkeypatch.setattr(R, "MOST_BYTES", most)
+        got = [(r.query_id, round(r.score, 6)) for r in R.hybrid(q, c, alpha, 7).orderBy("query_id", "rank").collect()]
+        assert got == want
+
+
 def test_parts(spark):
     for name, base in (("a.txt", "a.txt"), ("a.txt (part 1)", "a.txt"), ("a.txt (part 01)", "a.txt (part 01)"), ("a.txt (part 2) (part 1)", "a.txt (part 2)")):
         assert one(spark, name, T.base_of) == base
