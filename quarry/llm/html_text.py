@@ -47,8 +47,10 @@ OUTSIDE = set("nav header footer aside form head menu dialog button select searc
 OUTSIDE_WORDS = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer form header menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 INSIDE = {"article", "main"}
 INSIDE_WORDS = set("article content entry main post story".split())
+OUTSIDE_NAMES, INSIDE_NAMES = sorted(OUTSIDE_WORDS), sorted(INSIDE_WORDS)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+LEAD = re.compile(r"<!--|<!\[CDATA\[|</([a-zA-Z][^\s/>]*)|<([a-zA-Z][^\s/>]*)|<[!?/]")
+STOP = re.compile("[>\"']")
 VEILED = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*["'][^"']*\b(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[^\W_]+")
@@ -90,6 +92,63 @@ class Block(NamedTuple):
     linked: int  # characters within links
 
 
+class Scanner:
+    """Finds the tags of a page in one pass: what a failed search has read is never read again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # opening quotes from which no tag ends
+        self.endless: set[str] = set()  # elements of raw text without a further end tag
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends: at the next > outside quotes; where quotes don't pair, at the next > at all."""
+        i, seen = at, []
+        while (m := STOP.search(self.page, i)) and m[0] != ">" and m.start() not in self.dead:
+            seen.append(m.start())
+            i = self.page.find(m[0], m.end()) + 1
+            if not i:
+                break
+        else:
+            if m and m[0] == ">":
+                return m.start()
+        self.dead.update(seen)
+        return self.page.find(">", at)
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """Behind the end tag of an element of raw text; None without one."""
+        if tag in self.endless:
+            return None
+        end = ENDS[tag].search(self.page, at)
+        if end is None:
+            self.endless.add(tag)
+        return end and end.end()
+
+    def tags(self) -> Iterator[tuple[int, str, str, str, int]]:
+        """(start, kind, name, rest, end); kinds are open, close, data and none. Send a place to go on from."""
+        page, at = self.page, 0
+        while m := LEAD.search(page, at):
+            start = m.start()
+            if m[0] in ("<!--", "<![CDATA["):
+                close = "-->" if m[0] == "<!--" else "]]>"
+                end = page.find(close, m.end())
+                stop = len(page) if end < 0 else end + len(close)
+                found = (start, "data" if m[0] == "<![CDATA[" else "none", "", page[m.end() : len(page) if end < 0 else end] if m[0] == "<![CDATA[" else "", stop)
+            elif start > self.last:  # no tag ends any more
+                at = min([p for p in (page.find("<!--", start), page.find("<![CDATA[", start)) if p >= 0], default=len(page))
+                continue
+            elif m[2]:
+                end = self.tag_end(m.end())
+                found = (start, "open", m[2].lower(), page[m.end() : end], end + 1)
+            else:
+                end = page.find(">", m.end() if m[1] else start + 2)
+                if end < 0:
+                    at = start + 1
+                    continue
+                found = (start, "close" if m[1] else "none", (m[1] or "").lower(), "", end + 1)
+            skip = yield found
+            at = skip if skip is not None else found[4]
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order; scripts, styles, comments and hidden elements are left out.
 
@@ -128,13 +187,16 @@ def blocks(page: str | None) -> list[Block]:
             run.append(text)
             linked += len(text) * (links > 0)
 
-    while m := TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            add(m[0][9:].removesuffix("]]>"))
-        elif m[1]:
-            tag = m[1].lower()
+    scanner = Scanner(page)
+    tags = scanner.tags()
+    found = next(tags, None)
+    while found:
+        start, kind, tag, rest, end = found
+        add(page[at:start])
+        at = end
+        if kind == "data":
+            add(rest)
+        elif kind == "close":
             if veil and tag == veil[-1]:
                 veil.pop()
             elif tag == "a":
@@ -143,12 +205,11 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
                 if open_tags[tag]:
                     close(tag)
-        elif m[2] or m[4]:
-            tag, rest = (m[2] or m[4]).lower(), m[3] or m[5] or ""
+        elif kind == "open":
             if tag in RAW:
                 if not rest.endswith("/"):
-                    end = ENDS[tag].search(page, at)
-                    at = end.end() if end else at if tag == "noscript" else len(page)
+                    behind = scanner.raw_end(tag, at)
+                    at = behind or (at if tag == "noscript" else len(page))
             elif tag == "br":
                 run.append(" ")
             elif tag in BLOCKS:
@@ -167,6 +228,10 @@ def blocks(page: str | None) -> list[Block]:
                 veil.append(tag)
             elif tag == "a":
                 links += 1
+        try:
+            found = tags.send(at)
+        except StopIteration:
+            found = None
     add(page[at:])
     flush()
     return out
@@ -181,29 +246,58 @@ def told(found: list[Block]) -> list[int]:
     return [int(not o and len(b.text) >= 80 and b.linked < 0.3 * len(b.text)) for b, o in zip(found, outside, strict=True)]
 
 
+#: What articles hold besides headings and paragraphs: elements from the outermost, and how many blocks in a row.
+PARTS_OF_ARTICLES = [(("ul",), ("li",), 6), (("ol",), ("li",), 6), (("table", "tbody", "tr"), ("td",), 8), (("table", "tr"), ("th",), 4), (("dl",), ("dd",), 4), ((), ("pre",), 2), (("blockquote",), ("p",), 2), ((), ("blockquote",), 1), (("figure",), ("figcaption",), 1), (("div",), ("p",), 3), ((), ("h2",), 1), ((), ("h3",), 1)]
+
+
+def enriched(page: list[tuple[Block, int]], texts: list[str], rng: random.Random) -> list[tuple[Block, int]]:
+    """A page whose main text also holds lists, tables, code, quotes and captions, between and behind its own blocks."""
+    own = [i for i, (b, y) in enumerate(page) if y and b.inner]
+    for at in sorted(rng.sample(own, min(len(own), rng.randint(1, 4))), reverse=True):
+        around, (leaf,), most = rng.choice(PARTS_OF_ARTICLES)
+        inner = page[at][0].inner.around
+        for tag in around:
+            inner = element(inner, tag)
+        new = []
+        for _ in range(rng.randint(1, most)):
+            words = rng.choice(texts).split()
+            start = rng.randrange(len(words))
+            part = " ".join(words[start : start + rng.choice([1, 2, 4, 8, 16])])
+            linked = len(part) * (rng.random() < 0.1)
+            new.append((Block(element(inner, leaf), part, linked), 1))
+        page[at + 1 : at + 1] = new
+    return page
+
+
 def varied(found: list[Block], labels: list[int], texts: list[str], rng: random.Random, unknown: bool) -> tuple[list[Block], list[int]]:
     """A page with foreign blocks put in; if ``unknown``, with no telling tag and with names that say nothing.
 
     Where names say nothing, foreign blocks are short or linked, so that texts and their order must tell.
     """
     kinds = [("aside",), ("div", "sidebar"), ("div", "cookie", "notice"), ("form",), ("section", "comments"), ("div", "comment"), ("header",), ("div", "ad"), ("div", "advert"), ("ul", "menu"), ("footer",), ("nav",), ("div", "related"), ("div", "share"), ("div", "newsletter", "signup")]
-    out = list(zip(found, labels, strict=True))
+    out = enriched(list(zip(found, labels, strict=True)), texts, rng)
     for _ in range(rng.randrange(4)):
         at = rng.randrange(len(out) + 1)
         near = out[max(0, at - 1)][0].inner if out else None
-        inner = element(near.around if near else None, *rng.choice(kinds))
-        text = rng.choice(texts)
-        part = text if not unknown and rng.random() < 0.5 else " ".join(text.split()[: rng.randint(1, 5 if unknown else 12)])
-        if rng.random() < 0.7:
+        kind = rng.choice(kinds) if rng.random() < 0.5 else (rng.choice(["div", "section"]), rng.choice(OUTSIDE_NAMES))
+        inner = element(near.around if near else None, *kind)
+        if listed := rng.random() < 0.25:
+            inner = element(element(inner, "ul"), "li")
+        elif rng.random() < 0.7:
             inner = element(inner, rng.choice(["p", "li", "div"]))
-        new = [(Block(inner, part, len(part) * (rng.random() < (0.7 if unknown else 0.3))), 0) for _ in range(rng.randint(1, 3))]
+        new = []
+        for _ in range(rng.randint(1, 6 if listed else 3)):
+            text = rng.choice(texts)
+            part = text if not unknown and rng.random() < 0.5 else " ".join(text.split()[: rng.randint(1, 5 if unknown else 12)])
+            new.append((Block(inner, part, len(part) * (rng.random() < (0.7 if unknown else 0.3))), 0))
         out[at:at] = new
-    if unknown or rng.random() < 0.3:
+    if unknown or rng.random() < 0.5:
         alias: dict[str, str] = {}
+        main = ("div", *rng.choice([(), (rng.choice(INSIDE_NAMES),)]))
 
         def renamed(name: tuple[str, ...]) -> tuple[str, ...]:
             if not unknown:
-                return ("div",) if name[0] in INSIDE else name
+                return main if name[0] in INSIDE else name
             tag = "div" if name[0] in INSIDE or name[0] in OUTSIDE else name[0]
             return (tag, *(alias.setdefault(w, f"{rng.randrange(1 << 30):x}") for w in (name if tag != name[0] else name[1:])))
 

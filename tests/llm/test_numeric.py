@@ -178,3 +178,40 @@ def test_large_integers_are_multiplied_exactly():
     want = [[[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in c[p]] for r in x[p]] for p in range(2)]
     assert codes.dots(x, c).tolist() == want
     assert sum(len(codes.limbs(a, 25)) for a in (x, c)) == 4
+
+
+@pytest.mark.parametrize("unit", ['<p title="x', '<p t="" u=">"', '<p a=">', "<p a='>", "<noscript>", "<a", "</a ", "<!x", "<p a=\"'>x", '<b "><'])
+@pytest.mark.parametrize("tail", ["", ">", '"', "'"])
+def test_unbalanced_markup_is_read_in_linear_time(unit, tail):
+    import time
+
+    from quarry.llm import html_text
+
+    page = unit * (1_000_000 // len(unit)) + tail
+    start = time.time()
+    html_text.blocks(page)
+    assert time.time() - start < 10  # a megabyte; a square would take minutes
+
+
+def test_articles_with_lists_tables_and_code(spark):
+    """Blocks of every kind within an article are told as main text in training, and read back whole."""
+    import random
+
+    from quarry.llm import html_text
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    page = (
+        '<body><nav><ul class="menu"><li><a href="/">Home</a></li></ul></nav><article><h1>A long title here</h1><p>First paragraph of the article, which has words.</p>'
+        "<ul><li>The first item is a whole sentence of its own.</li><li>Second item</li></ul><p>Another paragraph follows the list and says more.</p>"
+        "<table><tr><th>Name</th></tr><tr><td>alpha</td></tr></table><pre>x = 1</pre><blockquote>Quoted words of someone.</blockquote><p>The last paragraph ends the text here.</p></article>"
+        '<div class="sidebar"><ul><li>Other story</li></ul></div><footer><p>Copyright 2024 All rights</p></footer></body>'
+    )
+    found = html_text.blocks(page)
+    own = html_text.told(found)
+    assert [b.text for b, y in zip(found, own, strict=True) if not y] == ["Home", "Other story", "Copyright 2024 All rights"]
+    kinds = {b.inner.name[0] for _ in range(60) for b, y in html_text.enriched(list(zip(found, own, strict=True)), ["a b c d e"], random.Random(_)) if y}
+    assert {"li", "td", "pre", "blockquote", "figcaption", "dd"} <= kinds
+    labels = html_text.learn(pages).label([found])[0]
+    wrong = sum(bool(a) != bool(b) for a, b in zip(labels, own, strict=True))
+    print("wrong blocks", wrong, "of", len(found))
+    assert wrong <= 2
