@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import annotated, keyed_text, table
+from quarry.llm.common import annotated, cut, keyed_text, table
 
 BITS = 15
 #: Labelled rows learned from, per language, as an expected number (rows are drawn by a hash).
 ROWS = 4000
-#: Languages learned at most: those with the most rows.
-LANGUAGES = 128
+#: Languages whose shares are sent to every task; with more, rows are shuffled to them.
+MOST_SHARES = 200_000
 #: Likelihoods kept per task (words times languages); beyond it the cache starts anew.
 CACHE_WORDS = 800_000
 #: No word counts for more than this many nats in favour of one language.
@@ -56,13 +56,14 @@ def trigrams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def learn(rows: DataFrame, text_col: str, lang_col: str, limit: int = ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [trigram, language]) from rows with text and language.
 
-    About ``limit`` rows of each of the LANGUAGES most frequent languages are drawn by a hash of their
+    About ``limit`` rows of each language are drawn by a hash of their
     id; one table of trigram counts per language (2**15 numbers) comes to the driver. Rows whose text
     or language is null count for nothing; without rows no language is learned.
     """
     known = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("share"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).drop("_n")
-    drawn = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("i", F.lit("learn")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
+    share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(limit)) / F.count("*")).alias("share"))
+    share = cut(share)  # a row a language
+    drawn = known.join(F.broadcast(share) if share.count() <= MOST_SHARES else share, "lang").where(F.pmod(F.xxhash64("i", F.lit("learn")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}

@@ -4,7 +4,7 @@ Vectors are turned into integers. Their approximations hold, for every dimension
 between fixed edges; a scan of the cells bounds every product from below and above. A vector can be
 among a query's k best only if its upper bound reaches the k-th best lower bound. Exact vectors
 are then read in the order of their upper bounds, until the k-th exact score is no smaller than the
-next bound.
+next bound: a first few of each query, then all whose bound still reaches its k-th score.
 
 Vectors and queries meet in blocks: every block of queries is sent to every block of vectors once,
 with the bounds that a first block of vectors gave.
@@ -30,25 +30,33 @@ CELLS = 64
 VECTORS, QUERIES = 8192, 1024
 #: Exact vectors read per query before the rest is looked at.
 FIRST = 24
-#: The greatest double below 2**63: what an integer is held to.
-LIMIT = float((1 << 63) - 1024)
+#: What integers and scores must lie within.
+LIMIT = 1 << 63
 #: Products of doubles count as inexact by this share of the sum of their sizes.
 SLACK = 2.0**-48
 
 
 def integers(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (packed int64): floor(scale * x), held to 64 bits; vectors that take no part are left out."""
+    """vec_id, v (packed int64): floor(scale * x); vectors that take no part are left out. Beyond 64 bits is an error."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null")
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if x is None or not np.isfinite(x).all() else np.clip(np.floor(scale * x), -LIMIT, LIMIT).astype("<i8").tobytes() for x in lists(batch.column(1))]
+            found = [None if x is None or not np.isfinite(x).all() else whole(scale, x).tobytes() for x in lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["vec_id", "v"])
 
     return rows.mapInArrow(run, f"vec_id {kind}, v binary").where("v is not null")
 
 
+def whole(scale: int, x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        v = np.floor(scale * x)
+    if np.abs(v).max(initial=0.0) >= LIMIT:
+        raise OverflowError("a component is beyond 64 bits")
+    return v.astype("<i8")
+
+
 def matrix(column: list[bytes] | pd.Series, width: int) -> np.ndarray:
     """Rows of packed integers; shorter vectors count as padded with zeros."""
     out = np.zeros((len(column), width), dtype=np.int64)
@@ -58,11 +66,14 @@ def matrix(column: list[bytes] | pd.Series, width: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices, held to 64 bits."""
+    """Exact inner products of the rows of two integer matrices; one beyond 64 bits is an error."""
     size = np.abs(a.astype(np.float64)) * np.abs(b.astype(np.float64))
     out = (a * b).sum(axis=1)
     for i in np.flatnonzero(size.sum(axis=1) >= 2.0**62):  # in 64 bits these could run over
-        out[i] = max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))))
+        exact = sum(x * y for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True))
+        if not -LIMIT <= exact < LIMIT:
+            raise OverflowError("a score is beyond 64 bits")
+        out[i] = exact
     return out
 
 
@@ -161,7 +172,7 @@ def top_k(df: DataFrame, k: int = 5, scale: int = 256, every: int = 50, id_col:
 
     Ties go to the smaller vec_id. Null vectors, and those with null or non-finite components, take
     no part, nor do rows without id; of rows that repeat an id one counts, whatever its place, and a
-    row is never its own answer. Integers and scores are exact within 64 bits and held to them.
+    row is never its own answer. Integers and scores are exact; one beyond 64 bits is an error.
     Other columns are ignored; an empty table gives an empty table.
     """
     all_rows = cut(integers(df, scale, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")))

@@ -215,3 +215,21 @@ def test_articles_with_lists_tables_and_code(spark):
     wrong = sum(bool(a) != bool(b) for a, b in zip(labels, own, strict=True))
     print("wrong blocks", wrong, "of", len(found))
     assert wrong <= 2
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    from quarry.llm import topk
+
+    rows = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e9, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(rows, every=1).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(rows.withColumn("embedding", rows.embedding).limit(0).union(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>")), every=1).collect()
+
+
+def test_every_language_is_learned(spark):
+    from quarry.llm import langid
+
+    rows = spark.createDataFrame([(i, f"l{i % 150}", " ".join(f"{chr(97 + i % 150 % 26)}{chr(97 + i % 150 // 26)}xq" for _ in range(5))) for i in range(450)], "doc_id long, lang string, text string")
+    langs, _ = langid.learn(rows, "text", "lang")
+    assert langs == sorted({f"l{i}" for i in range(150)})
