@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.written import written
+from quarry.operators.written import kept_in_place
 
 WITHOUT_LIMIT = 1 << 60
 
@@ -148,7 +148,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], values: list[st
     Rows of equal key and order lie in any order. ``values`` are whole numbers, not null.
     """
     others = [c for c in rows.columns if c not in (*keys, *values)]
-    laid = written(rows.select(*keys, *values, *others).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+    laid = kept_in_place(rows.select(*keys, *values, *others).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
     laid = laid.withColumn("_task", F.spark_partition_id())
     k, own = len(keys), slice(len(keys), len(keys) + len(values))
     fields = [f for f in laid.schema if f.name != "_task"]
