@@ -175,10 +175,12 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     sized = sized.withColumn("dl", F.size("_t"))  # before the tokens become rows, which need not carry them all
     every = sized.select("id", *by, "dl", F.explode(F.concat("_t", nothing)).alias("term"))
     hits = every.join(asked, F.col("term").eqNullSafe(F.col("_term")), "left_semi")
-    counted = written(hits.groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf")))
-    lengths, tf = counted.where("term is null"), counted.where("term is not null")
-    stats = lengths.groupBy(*by).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    # A row for each chunk again, with the asked terms among its tokens (no null) as often as they occur.
+    held = written(hits.groupBy("id").agg(*[F.first(c).alias(c) for c in (*by, "dl")], F.collect_list("term").alias("_h")))
+    stats = held.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = held.select(*by, F.explode(F.array_distinct("_h")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    # Dealt by id once: neither the counts nor the sums of a chunk's weights are shuffled after that.
+    tf = held.repartition("id").select("id", *by, "dl", F.explode("_h").alias("term")).groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # A row for each asked term (and collection), with the statistics and the questions that ask it.
     told = few(written((df.join(stats, by) if by else df.join(F.broadcast(stats))).join(terms, [*by, "term"])))
