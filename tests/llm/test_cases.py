@@ -278,6 +278,8 @@ def brute_best(text, templates):
     unknown = max(idf.values())
     words = term.findall(text.lower())
     runs = [term.findall(x.lower()) for x in re.split(r"[\n\r]+", text)]
+    said = lambda x: (re.findall(licenses.VERSION, x) or [""])[0].removesuffix(".0").removesuffix(".0")
+    stated = [said(b.lower()) for _, b in dict.fromkeys(templates)]
     for _, bag in bags:
         n = sum(bag.values())
         runs += [words[i : i + n] for i in range(max(1, len(words) - n + 1))]
@@ -285,8 +287,8 @@ def brute_best(text, templates):
     for run in runs:
         tf = Counter(run)
         size = math.sqrt(sum((n * idf.get(t, unknown)) ** 2 for t, n in tf.items()))
-        for _, bag in bags:
-            if len(set(tf) & set(bag)) < min(2, len(bag)):
+        for (_, bag), version in zip(bags, stated, strict=True):
+            if len(set(tf) & set(bag)) < min(2, len(bag)) or version not in ("", said(" ".join(run))):
                 continue
             other = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
             dot = sum(n * idf[t] * tf[t] * idf[t] for t, n in bag.items() if t in tf)
@@ -318,6 +320,62 @@ def test_licences_of_files(spark):
         assert math.isclose(got[p][1], brute_best(FILES[p][1], licenses.TEMPLATES), abs_tol=1e-5)
 
 
+def test_folder_licences_come_from_licence_files_only(spark):
+    tree = {
+        "p/one.py": "Released under the MIT License.",
+        "p/two.py": "code",
+        "p/q/three.py": None,
+        "r/LICENSE": "Released under the ISC License.",
+        "r/s/COPYING": "Ask the owner before any use.",
+        "r/s/x.py": "code",
+        "r/s/t/LICENSE": "",
+        "r/s/t/y.py": "code",
+        "r/u/LICENSE": "Unknown terms.",
+        "r/u/COPYING": "Licensed under CC BY 4.0.",
+        "r/u/v/z.py": "code",
+        "r/w/z.py": "code",
+        "LICENSE": "Nothing known.",
+    }
+    got = {r.path: (r.license, r.evidence, r.from_dir) for r in licenses.license_scan(spark.createDataFrame([(i, *x) for i, x in enumerate(tree.items())], "doc_id long, path string, text string")).collect()}
+    none = (None, "none", None)
+    assert got == {
+        "p/one.py": ("MIT", "own", None),
+        "p/two.py": none,
+        "p/q/three.py": none,
+        "r/LICENSE": ("ISC", "own", None),
+        "r/s/COPYING": none,
+        "r/s/x.py": none,
+        "r/s/t/LICENSE": none,
+        "r/s/t/y.py": none,
+        "r/u/LICENSE": none,
+        "r/u/COPYING": ("CC-BY-4.0", "own", None),
+        "r/u/v/z.py": ("CC-BY-4.0", "inherited", "r/u"),
+        "r/w/z.py": ("ISC", "inherited", "r"),
+        "LICENSE": none,
+    }
+
+
+def test_versions_expressions_and_dual_notices(spark):
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {
+        lesser.format("2.1"): ("LGPL-2.1", ["LGPL-2.1"], None),
+        lesser.format("3"): ("LGPL-3.0", ["LGPL-3.0"], None),
+        lesser.format("4"): (None, None, None),
+        "Licensed under the Apache License, Version 1.1.": (None, None, None),
+        "Licensed under the Apache-2.0 license.": ("Apache-2.0", ["Apache-2.0"], None),
+        "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS LICENSE": ("EPL-2.0", ["EPL-2.0"], None),
+        "Eclipse Public License - v 1.0": ("EPL-1.0", ["EPL-1.0"], None),
+        "Boost Software License - Version 1.0 - August 17th, 2003": ("BSL-1.0", ["BSL-1.0"], None),
+        "# SPDX-License-Identifier: CC-BY-NC-SA-4.0": ("CC-BY-NC-SA-4.0", ["CC-BY-NC-SA-4.0"], "CC-BY-NC-SA-4.0"),
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */ int x;": ("Apache-2.0", ["Apache-2.0", "MIT"], "(MIT OR Apache-2.0)"),
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND ISC": ("GPL-2.0", ["GPL-2.0", "ISC"], "GPL-2.0-only WITH Classpath-exception-2.0 AND ISC"),
+        "SPDX-License-Identifier: LicenseRef-Own": (None, None, None),
+        "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.": ("Apache-2.0", ["Apache-2.0", "MIT"], None),
+    }
+    got = licenses.license_scan(spark.createDataFrame([(i, f"{i}/x", t) for i, t in enumerate(cases)], "doc_id long, path string, text string"))
+    assert [(r.license, r.licenses, r.expression) for r in got.orderBy("doc_id").collect()] == list(cases.values())
+
+
 def test_licences_are_brute_force_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     got = {r.doc_id: (r.score or 0.0) * (r.evidence == "own") for r in licenses.op7_licenses(spark, SF).collect()}
