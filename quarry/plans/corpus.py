@@ -245,8 +245,7 @@ def citations(s, d):
 def hybrid(s, d):
     embed = hashed_words(32)
     asked = questions(s, d).withColumn("vector", embed(F.col("question")))
-    chunks = written(contents(s, d).select("id", "content", embed(F.col("content")).alias("vector")))
-    return R.hybrid(asked, chunks, 0.5, 10)
+    return R.hybrid(asked, contents(s, d).select("id", "content", embed(F.col("content")).alias("vector")), 0.5, 10)
 
 
 @query()

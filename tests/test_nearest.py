@@ -49,3 +49,30 @@ def test_pairs_cost_a_product_each(metric):
     for at in range(0, 20_000, 5000):
         near.see(pd.DataFrame({"id": range(at, at + 5000), "vector": x[at : at + 5000], "of": ""}))
     assert len(near.rows()) == 10_000 and time.process_time() - started < 20
+
+
+def test_keyword_scores_are_counted_in_rows(spark, monkeypatch):
+    """Blocks of a bounded size; more asked terms than fit a list give the same scores."""
+    texts = ["sun moon sun", "Sea", None, "", "moon sea star", "x y z", "sun"] * 5
+    c = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    q = spark.createDataFrame([(0, "sun moon"), (1, "sea sun sun"), (2, "none"), (3, None)], "query_id long, question string")
+    want = sorted(map(tuple, R.keyword_scores(q, c).collect()))
+    monkeypatch.setattr(R, "MOST_DEALT", 3)
+    assert R.keyword_scores(q, c).rdd.getNumPartitions() >= 12
+    monkeypatch.setattr(R, "MOST_WORDS", 1)
+    assert sorted(map(tuple, R.keyword_scores(q, c).collect())) == want and len(want) == 35
+
+
+def test_hybrid_looks_up_few_pairs(spark, monkeypatch):
+    """The k best by keyword set the bound too, so that most other hits need no vector."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 12)), rng.standard_normal(8).tolist()) for i in range(2000)]
+    c = spark.createDataFrame(rows, "id long, content string, vector array<double>").cache()
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 20)), rng.standard_normal(8).tolist()) for i in range(4)], "query_id long, question string, vector array<double>")
+    sizes = []
+    keep = R.written
+    monkeypatch.setattr(R, "written", lambda df: sizes.append((set(df.columns), (out := keep(df)).count())) or out)
+    assert R.hybrid(q, c, 0.5, 5).count() == 20
+    pairs = [n for names, n in sizes if names == {"query_id", "id", "b"}]
+    assert max(pairs) > 7000 and pairs[-1] < max(pairs) / 3, pairs
