@@ -68,9 +68,11 @@ def label_record_parts(records: DataFrame) -> DataFrame:
     """
     by = ["name", "part"]
     ends = records.groupBy(*by).agg(F.count("*").alias("records"), F.min(F.struct("ordinal", "key")).alias("first"), F.max(F.struct("ordinal", "key")).alias("last"))
-    seen = records.select(*by, "ordinal", F.posexplode("fields").alias("at", "field")).groupBy(*by, "field").agg(F.min(F.struct("ordinal", "at")).alias("seen"))
+    # Of equal lists of fields only the first counts, so that few are taken apart.
+    lists = records.groupBy(*by, "fields").agg(F.min("ordinal").alias("ordinal"))
+    seen = lists.select(*by, "ordinal", F.posexplode("fields").alias("at", "field")).groupBy(*by, "field").agg(F.min(F.struct("ordinal", "at")).alias("seen"))
     named = seen.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "field"))), lambda x: x["field"]).alias("fields"))
-    of = records.groupBy("name").agg(F.count_distinct("part").alias("of"))
+    of = records.select(*by).distinct().groupBy("name").agg(F.count("part").alias("of"))
     out = ends.join(named, by, "left").join(of, "name").withColumn("fields", F.coalesce("fields", F.array().cast("array<string>")))
     name = F.when(F.col("of") > 1, part_name(F.col("name"), F.col("part"))).otherwise(F.col("name"))
     summary = record_summary(F.col("records"), F.col("fields"), F.col("first.key"), F.col("last.key"))

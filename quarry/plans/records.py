@@ -99,9 +99,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey
 def records(s, d):
     from pyspark.sql import Window as W
 
-    n = F.row_number().over(W.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    # A flag's rows are numbered in ranges of order keys, behind the count of the ranges before.
+    keyed = table(s, d, "lineitem").withColumn("_range", F.coalesce(F.floor(F.col("l_orderkey") / 1000), F.lit(-(1 << 62))))
+    counts = keyed.groupBy(F.col("l_returnflag").alias("_flag"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_flag").orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    n = F.row_number().over(W.partitionBy("l_returnflag", "_range").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     names = F.transform(F.sequence(F.lit(1), (2 + F.col("l_linenumber") * 4).cast("int")), lambda i: F.concat(F.lit("field number "), i.cast("string"), F.lit(" of record")))
-    rows = table(s, d, "lineitem").withColumn("n", n)
+    ranged = keyed.withColumn("_i", n).join(before, F.col("l_returnflag").eqNullSafe(F.col("_flag")) & (F.col("_range") == F.col("_of")))
+    rows = ranged.withColumn("n", F.col("_i") + F.col("_before") - 1)
     return rows.select(F.col("l_returnflag").alias("name"), (F.floor(F.col("n") / 500) + 1).cast("int").alias("part"), F.col("n").alias("ordinal"), text_of("order ", F.col("l_orderkey").cast("string")).alias("key"), names.alias("fields"))
 
 

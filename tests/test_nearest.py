@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import distance, score
-from quarry.operators import nearest
+from quarry.operators import cleaning, nearest
 from quarry.operators import retrieval as R
 
 METRICS = ["cosine", "dot", "l2-squared"]
@@ -76,3 +76,15 @@ def test_hybrid_looks_up_few_pairs(spark, monkeypatch):
     assert R.hybrid(q, c, 0.5, 5).count() == 20
     pairs = [n for names, n in sizes if names == {"query_id", "id", "b"}]
     assert max(pairs) > 7000 and pairs[-1] < max(pairs) / 3, pairs
+
+
+def test_equal_lists_of_fields_are_taken_apart_once(spark):
+    """Fields keep the order in which they are first seen; a list that many records share is one row before it is taken apart."""
+    rows = [("f", 1 + i // 600, i, f"k{i}", ["a", "b"] if i % 3 else ["c", "a", "c"]) for i in range(1000)] + [("g", 1, 0, "x", None), ("h", 1, 0, "y", [])]
+    df = spark.createDataFrame(rows, "name string, part int, ordinal long, key string, fields array<string>")
+    out = cleaning.label_record_parts(df)
+    got = {(r.name, r.part): (r.of, r.records, r.summary) for r in out.collect()}
+    assert got["f", 1] == (2, 600, "600 records. Fields: c, a, b. First: k0; last: k599.") and got["f", 2][2].startswith("400 records. Fields: c, a, b.") and len(got) == 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    made = plan[plan.index("Generate posexplode") :].split("\n")
+    assert any("Aggregate [name" in line and "fields" in line for line in made[:4])
