@@ -1,7 +1,7 @@
-"""Folds over the ordered rows of a key that give every row the number of its run, in parallel within one key.
+"""Folds over the ordered rows of a key that give every row the number of its run, in parallel within one large key.
 
-Rows are dealt by ranges of key and order and written once, so a key of any size spreads over
-tasks. A run that starts at a given row ends at a row that the values alone decide; only the run
+Keys of a bounded size are dealt by key and folded in one pass. The rows of larger keys are dealt
+by ranges of key and order and written once, so a key of any size spreads over tasks. A run that starts at a given row ends at a row that the values alone decide; only the run
 that is open where a task's rows begin depends on the rows before. So a first pass gives, for each
 task, a summary of its first key: for every place where the open run may end, how many runs follow
 and what is open at the end. One scan over these summaries (a row a task) finds what is open at
@@ -11,17 +11,22 @@ each task's start, and a second pass numbers the rows of all tasks at once.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from quarry.operators.written import kept_in_place
+from quarry.operators.written import kept_in_place, written
 
 WITHOUT_LIMIT = 1 << 60
+#: Rows of a key that one task folds; the rows of larger keys are dealt to many.
+MOST_OF_KEY = 1_000_000
 
 
 class Packed:
@@ -142,17 +147,60 @@ def pieces(batches: Iterator[pa.RecordBatch], keys: int, values: slice) -> Itera
                 yield part, tuple(c[0].as_py() for c in part.columns[:keys]), [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in part.columns[values]]
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], values: list[str], rule: Packed | Anchored, name: str) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], values: list[str], rule: Packed | Anchored, name: str, weight: Column | None = None) -> DataFrame:
     """``rows`` with ``name``: the number (from 0) of each row's run within its key, in the order of ``order``.
 
-    Rows of equal key and order lie in any order. ``values`` are whole numbers, not null.
+    Rows of equal key and order lie in any order. ``values`` are whole numbers, not null. A key whose
+    rows count more than ``MOST_OF_KEY`` (a row counts 1, or its ``weight``) is folded by many tasks.
     """
-    others = [c for c in rows.columns if c not in (*keys, *values)]
-    laid = kept_in_place(rows.select(*keys, *values, *others).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+    size = F.count("*") if weight is None else F.sum(weight)
+    large = written(rows.groupBy(*keys).agg(size.alias("_size")).where(F.col("_size") > MOST_OF_KEY).select(*[F.col(c).alias(f"_{c}") for c in keys]))
+    if large.isEmpty():
+        return folded_by_key(rows, keys, order, values, rule, name)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    small = folded_by_key(rows.join(F.broadcast(large), same, "left_anti"), keys, order, values, rule, name)  # of n rows at most n / MOST_OF_KEY are keys of large
+    return small.unionByName(folded_in_blocks(rows.join(F.broadcast(large), same, "left_semi"), keys, order, values, rule, name))
+
+
+def laid_first(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return rows.select(*keys, *values, *[c for c in rows.columns if c not in (*keys, *values)])
+
+
+def folded_by_key(rows: DataFrame, keys: list[str], order: list[str], values: list[str], rule: Packed | Anchored, name: str) -> DataFrame:
+    """As ``numbered``; the rows of a key are folded by one task, batch after batch."""
+    laid = laid_first(rows, keys, values).repartition(*keys).sortWithinPartitions(*keys, *order)
+    k, own = len(keys), slice(len(keys), len(keys) + len(values))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cuts = [0, *changes(batch, k), batch.num_rows]
+            v = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[own]]
+            numbers = np.zeros(batch.num_rows, dtype=np.int64)
+            first = tuple(c[0].as_py() for c in batch.columns[:k])
+            state = state if first == last else None
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a and b - a == 1 and b < batch.num_rows:
+                    continue  # the only row of its key
+                numbers[a:b], state = replayed(rule, [x[a:b] for x in v], state if not a else None)
+            last = tuple(c[batch.num_rows - 1].as_py() for c in batch.columns[:k])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, name])
+
+    return laid.mapInArrow(fold, f"{kinds(laid.schema)}, `{name}` int").select(*rows.columns, name)
+
+
+def kinds(fields: Iterable[StructField]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
+def folded_in_blocks(rows: DataFrame, keys: list[str], order: list[str], values: list[str], rule: Packed | Anchored, name: str) -> DataFrame:
+    """As ``numbered``; the rows of a key are folded by many tasks."""
+    laid = kept_in_place(laid_first(rows, keys, values).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
     laid = laid.withColumn("_task", F.spark_partition_id())
     k, own = len(keys), slice(len(keys), len(keys) + len(values))
     fields = [f for f in laid.schema if f.name != "_task"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, head, current, held, s = None, None, None, [], None
@@ -200,4 +248,4 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], values: list[st
             numbers, state = replayed(rule, v, state)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(numbers, pa.int32())], [*part.schema.names[:-1], name])
 
-    return laid.mapInArrow(second, f"{kinds}, `{name}` int").select(*rows.columns, name)
+    return laid.mapInArrow(second, f"{kinds(fields)}, `{name}` int").select(*rows.columns, name)

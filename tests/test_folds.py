@@ -133,3 +133,37 @@ def test_semantic_documents_have_a_limit_of_sentences(spark):
     docs = spark.createDataFrame([("few", "a. b. c."), ("many", "a. " * 100_001)], "source_file string, text string")
     rows, failed = C.chunk_documents(docs, "semantic", 50, 0, 0, embed=lambda c: F.array(F.lit(1.0)))
     assert [tuple(r) for r in failed.collect()] == [("many", "sentences")] and {r.source_file for r in rows.collect()} == {"few"}
+
+
+@pytest.mark.parametrize("most", [100, 10**6])
+def test_only_large_keys_are_folded_in_blocks(spark, monkeypatch, most):
+    """Keys under the bound take one pass and are not written; a key over it is dealt to all tasks; both give the loop."""
+    written = []
+    keep = folds.kept_in_place
+    monkeypatch.setattr(folds, "MOST_OF_KEY", most)
+    monkeypatch.setattr(folds, "kept_in_place", lambda df: written.append(1) or keep(df))
+    rng = random.Random(most)
+    rows = [(k, i, rng.randint(0, 30)) for k, n in (("hot", 2000), ("a", 40), (None, 60), ("one", 1), ("two", 1), ("zz", 7)) for i in range(n)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # keys go on from batch to batch
+    try:
+        units = spark.createDataFrame([(k, i, "x" * n) for k, i, n in rows], "source_file string, pos int, text string")
+        got = {(r.source_file, r.pos): r.part for r in C.unit_parts(units, ("source_file",), F.lit(100), 1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and len(written) == (most == 100)
+    for key in ("hot", "a", None, "one", "two", "zz"):
+        own = sorted((i, n) for k, i, n in rows if k == key)
+        assert [got[key, i] for i, _ in own] == plain_packing([n for _, n in own], 100, 1, 10**9, [0] * len(own))
+
+
+def test_csv_rows_within_their_room_are_not_cut(spark):
+    """Rows that fit pass no cutter in Python and keep their positions; one long row is cut as before."""
+    rows = [(f, i, ["a" * i, "b"], f"{'a' * i},b\n", h) for f, h in (("x", "h,i\n"), ("y", None)) for i in range(9)]
+    schema = "source_file string, pos int, cells array<string>, text string, header string"
+    fits = C.pack_parts(spark.createDataFrame(rows, schema), 40, "csv", "header")
+    assert "EvalPython" not in fits._jdf.queryExecution().toString()
+    got = {(r.source_file, r.part): (r.content, r.units) for r in fits.collect()}
+    assert got["x", 0] == ("h,i\n" + "".join(r[3] for r in rows[:6]), 6) and got["y", 0][1] == 6 and sum(n for _, n in got.values()) == 18
+    long = C.pack_parts(spark.createDataFrame([*rows, ("x", 9, ["c" * 70, "d"], f"{'c' * 70},d\n", "h,i\n")], schema), 40, "csv", "header").where("source_file = 'x'").orderBy("part").collect()
+    assert all(r.content.startswith("h,i\n") and len(r.content) <= 40 for r in long) and sum(r.content.count("c") for r in long) == 70
