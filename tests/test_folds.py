@@ -167,3 +167,16 @@ def test_csv_rows_within_their_room_are_not_cut(spark):
     assert got["x", 0] == ("h,i\n" + "".join(r[3] for r in rows[:6]), 6) and got["y", 0][1] == 6 and sum(n for _, n in got.values()) == 18
     long = C.pack_parts(spark.createDataFrame([*rows, ("x", 9, ["c" * 70, "d"], f"{'c' * 70},d\n", "h,i\n")], schema), 40, "csv", "header").where("source_file = 'x'").orderBy("part").collect()
     assert all(r.content.startswith("h,i\n") and len(r.content) <= 40 for r in long) and sum(r.content.count("c") for r in long) == 70
+
+
+def test_a_batch_of_texts_is_taken_in_small_slices(spark):
+    """A full batch never lies in Python as objects as a whole, nor does what is made of it; null texts give nothing."""
+    import pyarrow as pa
+
+    texts = [None if i % 50 == 7 else f"a{i}\n\n```\n\nb\n```\nc" for i in range(300)]
+    made = C.per_text(lambda t: t.split("\n\n"), "string")
+    slices = list(made.func(iter([pa.array(texts)])))
+    assert max(map(len, slices)) <= C.MOST_HELD and [x for s in slices for x in s.to_pylist()] == [t.split("\n\n") if t else [] for t in texts]
+    rows = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "source_file string, text string").coalesce(1)
+    got = sorted((r.source_file, r.pos, r.text) for r in C.paragraph_units(rows, markdown=True).collect())
+    assert got == sorted((f"f{i}", p, x) for i, t in enumerate(texts) if t for p, x in enumerate([f"a{i}", "```\n\nb\n```\nc"]))
