@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -210,11 +210,96 @@ class Nearest:
         return pd.DataFrame({"query_id": self.query_ids.to_numpy()[q], "id": ids, **shown, "low": self.low[q], "high": self.high[q]})
 
 
+class Sharing(Nearest):
+    """As ``Nearest`` by cosine, among pairs that share a pattern in some table only.
+
+    ``own`` gives the patterns (one a table) of rows of a matrix, ``probed`` those that a query looks into. The pairs of a
+    pattern are a matrix product of at most ``block`` rows and queries; a pair that meets in several tables is kept once.
+    """
+
+    def __init__(self, asked: pd.DataFrame, k: int, width: int, own: Callable, probed: Callable, block: int):
+        super().__init__(asked, k, "cosine")
+        self.own, self.block = own, block
+        self.side = Side(np.arange(len(asked)), np.array(asked["vector"].tolist(), dtype=np.float64).reshape(len(asked), width), "cosine")
+        self.unit = self.units(self.side)
+        patterns = [probed(self.side.m[a : a + 512]) for a in range(0, len(asked), 512)]
+        self.tables = [by_pattern(t) for t in np.concatenate(patterns).transpose(1, 0, 2)] if patterns else []
+
+    def units(self, side: Side) -> np.ndarray:
+        return side.m / np.sqrt(np.where(side.fine, side.squares, 1.0))[:, None]
+
+    def see(self, chunks: pd.DataFrame) -> None:
+        """``chunks``: id, vector, all of the usual width."""
+        ids = sortable(chunks["id"])
+        with np.errstate(all="ignore"):
+            x = Side(np.arange(len(ids)), np.array(chunks["vector"].tolist(), dtype=np.float64).reshape(len(ids), -1), "cosine")
+            units, slack = self.units(x), 4 * (x.m.shape[1] + 8) * 2.0**-53
+            patterns = np.concatenate([self.own(x.m[a : a + 4096]) for a in range(0, len(ids), 4096)])
+            left, right, n = [], [], 0
+            for (asked, starts), own in zip(self.tables, patterns.T, strict=True):
+                held, begins = by_pattern(own[:, None])
+                for p in starts.keys() & begins.keys():
+                    qs, xs = asked[slice(*starts[p])], held[slice(*begins[p])]
+                    for a in range(0, len(qs), self.block):
+                        for b in range(0, len(xs), self.block):
+                            q, c = qs[a : a + self.block], xs[b : b + self.block]
+                            may = self.unit[q] @ units[c].T >= (self.kth[q] - slack)[:, None]
+                            if not (self.side.fine[q].all() and x.fine[c].all()):
+                                may |= ~self.side.fine[q][:, None] | ~x.fine[c]
+                            rows, columns = np.nonzero(may)
+                            left.append(q[rows])
+                            right.append(c[columns])
+                            n += len(rows)
+                            if n > SLICE:
+                                left, right, n = self.meet_pairs(x, left, right, ids)
+            self.meet_pairs(x, left, right, ids)
+
+    def meet_pairs(self, x: Side, left: list, right: list, ids: np.ndarray) -> tuple[list, list, int]:
+        if left:
+            r, c = np.concatenate(left), np.concatenate(right)
+            both = np.unique(r * len(ids) + c)
+            for a in range(0, len(both), SLICE):
+                r, c = np.divmod(both[a : a + SLICE], len(ids))
+                self.take(self.side, x, r, c, ids)
+                self.keep()
+        return [], [], 0
+
+    def keep(self) -> None:
+        """Pairs that are kept and found again count once."""
+        if self.best and self.found:
+            q, i, d = (np.concatenate([f[n] for f in self.found]) for n in (0, 1, 2))
+            old = pd.MultiIndex.from_arrays([self.best[0], self.best[1], self.best[2]])
+            new = ~pd.MultiIndex.from_arrays([q, i, d]).isin(old)
+            self.found = [tuple(np.concatenate([f[n] for f in self.found])[new] for n in range(4))]
+        super().keep()
+
+
+def by_pattern(patterns: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """(rows in the order of their patterns, where in it each pattern lies) from some patterns a row."""
+    flat = patterns.ravel()
+    order = np.argsort(flat, kind="stable")
+    found, first = np.unique(flat[order], return_index=True)
+    return order // patterns.shape[1], dict(zip(found.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(flat)], strict=True), strict=True))
+
+
 def order_of(score: np.ndarray, null: np.ndarray) -> np.ndarray:
     """Spark's order of doubles as numbers: NaN above all, null below all."""
     return np.where(null, -np.inf, np.where(np.isnan(score), np.inf, np.clip(score, -MOST, MOST)))
 
 
+def over_sharing(near: Sharing, batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """As ``over``, of at most ``most`` chunks (and a batch) at once, so that patterns have many rows."""
+    held: list[pd.DataFrame] = []
+    for chunks in batches:
+        held.append(chunks)
+        if sum(map(len, held)) >= most:
+            near.see(pd.concat(held))
+            held = []
+    if sum(map(len, held)):
+        near.see(pd.concat(held))
+    yield near.rows()
+
+
 def over(asked: pd.DataFrame, k: int, metric: str, nulls: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The k best of each query among all batches of a task."""
     near = Nearest(asked, k, metric, nulls)

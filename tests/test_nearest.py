@@ -88,3 +88,24 @@ def test_equal_lists_of_fields_are_taken_apart_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     made = plan[plan.index("Generate posexplode") :].split("\n")
     assert any("Aggregate [name" in line and "fields" in line for line in made[:4])
+
+
+@pytest.mark.parametrize("most", [R.MOST_BYTES, 3000])
+def test_shared_patterns_meet_as_products(spark, monkeypatch, most):
+    """The rows that scoring every candidate pair gives, odd vectors and copies among them, without a row a pair."""
+    rng = np.random.default_rng(4)
+    v = [x.tolist() for x in rng.standard_normal((400, 6))]
+    v += [v[3]] * 30 + [[0.0] * 6] * 3 + [[1e200] * 6, [1e-200] * 6, [float("nan")] * 6, None, [1.0], [1.0, None, 0.0, 0.0, 2.0, 1.0]]
+    c = spark.createDataFrame(list(enumerate(v)), "id long, vector array<double>").cache()
+    q = c.where("id % 5 = 0 or id > 425").select(F.col("id").alias("query_id"), "vector")
+    monkeypatch.setattr(R, "MOST_BYTES", most)
+    monkeypatch.setattr(nearest, "SLICE", 500)
+    own = {"bits": 4, "tables": 3, "probes": 2}
+    useful = c.where("id <= 3 or id >= 430 or id between 4 and 399 or id between 400 and 408")  # the ten smallest ids of equal vectors
+    cosine = F.try_divide(F.aggregate(F.zip_with("_q", "vector", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), F.col("_m") * F.col("_n"))
+    pairs = R.candidate_pairs(q, useful, **own).select("query_id", "id", score(1 - cosine, "cosine").alias("score")).distinct()
+    want = sorted(tuple(map(str, r)) for r in R.top_k(pairs, 10).collect())
+    found = R.near_vector_approx(q, c, 10, **own, block=7)
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == want and len(want) > 700
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and ("MapInPandas" in plan or "CoGroup" in plan)
